@@ -2,15 +2,53 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.llm.leakage import find_leaks
 from quire.llm.mixture import count_tokens, draw_mixture
+from quire.llm.pii import redact_pii
+from quire.llm.residue import fields_of, score_residue
 from quire.llm.splitting import split_oversized
 from quire.llm.truncation import score_truncation, truncation_rates
 from quire.scratch import stage, table
 
 
+def _summary_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = fields_of(table(spark, sf_dir, "test_summaries"), "test_summaries", "summary_id", ["medical_summary", "billing_highlights"])
+    return flat.unionByName(fields_of(table(spark, sf_dir, "summary_sections"), "summary_sections", "section_id", ["content"]))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_residue(_summary_values(spark, sf_dir)).filter("is_residue").select("record_table", "record_id", "field_name")
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that may go into summaries, without residue."""
+    return score_residue(_summary_values(spark, sf_dir)).filter("not is_residue").select("record_table", "record_id", "field_name", "clean_text")
+
+
+#: Tables with personal data: name, id and text column.
+_PII_TABLES = (("ocr_chunks", "delivery_id", "text"), ("summary_results", "result_id", "summary_text"), ("evidence_spans", "span_key", "text_snippet"))
+
+
+def _pii_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("record_table"), F.col(k).alias("record_id"), F.col(c).alias("text")) for t, k, c in _PII_TABLES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = redact_pii(_pii_texts(spark, sf_dir), "text", ["record_table", "record_id"], with_text=False)
+    return found.select("record_table", "record_id", F.explode("pii_types").alias("pii_type"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts with placeholders in place of personal information."""
+    return redact_pii(_pii_texts(spark, sf_dir), "text", ["record_table", "record_id"])
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pieces(spark, sf_dir).filter("piece_no = 0").select("delivery_id")
 
@@ -53,6 +91,6 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_rates(score_truncation(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_pieces, p7_found, p7_leaks, p8_selection, p8_shares, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_redacted, p6_found, p6_pieces, p7_found, p7_leaks, p8_selection, p8_shares, p9_found, p9_rates)}
 
 ORACLE_SQL = {"p6_found": "select delivery_id from ocr_chunks where length(text) > 4000"}
