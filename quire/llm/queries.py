@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.leakage import find_leaks
 from quire.llm.mixture import count_tokens, draw_mixture
+from quire.llm.ocr_repair import repair_scans
 from quire.llm.pii import redact_pii
 from quire.llm.residue import fields_of, score_residue
 from quire.llm.splitting import split_oversized
@@ -49,6 +50,22 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_pii(_pii_texts(spark, sf_dir), "text", ["record_table", "record_id"])
 
 
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "ocr_chunks").select(F.lit("ocr_chunks").alias("record_table"), F.col("delivery_id").alias("record_id"), "text", F.col("page_range.start").alias("first_page"))
+    samples = table(spark, sf_dir, "ocr_samples").select(F.lit("ocr_samples").alias("record_table"), F.col("sample_id").alias("record_id"), "text", F.array_min(F.col("pages.page_number")).alias("first_page"))
+    return chunks.unionByName(samples)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repair_scans(_scans(spark, sf_dir), with_text=False)
+    return found.select("record_table", "record_id", F.explode("noise_kinds").alias("noise_kind"))
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scanned texts in continuous paragraphs."""
+    return repair_scans(_scans(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_pieces(spark, sf_dir).filter("piece_no = 0").select("delivery_id")
 
@@ -91,6 +108,6 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation_rates(score_truncation(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_redacted, p6_found, p6_pieces, p7_found, p7_leaks, p8_selection, p8_shares, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_clean, p4_found, p4_redacted, p5_found, p5_repaired, p6_found, p6_pieces, p7_found, p7_leaks, p8_selection, p8_shares, p9_found, p9_rates)}
 
 ORACLE_SQL = {"p6_found": "select delivery_id from ocr_chunks where length(text) > 4000"}
