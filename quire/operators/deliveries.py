@@ -8,15 +8,13 @@ view without writing.
 
 Scale: a run is collapsed by a sort-based aggregation whose partial step works
 before the shuffle, so a message delivered billions of times leaves each map
-task once.  All runs share bucket count and key, which lets the merge read them
-without another exchange.
+task once.  What a merge shuffles afterwards is one row a key and run.  Buckets
+let lookups by identifier read one file a run.
 """
 
 from __future__ import annotations
 
 import uuid
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,14 +48,16 @@ class MessageStore:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = "messages_" + uuid.uuid4().hex[:12]
         self.runs: dict[str, str] = {}
+        self.paths: dict[str, str] = {}
 
     def _write(self, df: DataFrame, run: str) -> str:
         name = f"{self.name}_{len(self.runs)}_{uuid.uuid4().hex[:6]}"
+        self.paths[name] = f"{self.path}/{run}-{uuid.uuid4().hex[:6]}"
         (
             df.repartition(self.buckets, *self.keys)
             .write.bucketBy(self.buckets, *self.keys)
             .sortBy(*self.keys)
-            .option("path", f"{self.path}/{run}-{uuid.uuid4().hex[:6]}")
+            .option("path", self.paths[name])
             .format("parquet")
             .saveAsTable(name)
         )
@@ -76,7 +76,13 @@ class MessageStore:
         self.runs[run] = self._write(_merge(rows, self.keys), run)
 
     def _union(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, [self.spark.table(t) for t in self.runs.values()])
+        """All runs, read as plain files.
+
+        As bucketed tables they would be merged wrongly: Spark 4.1 takes a union
+        of bucketed scans for partitioned like its inputs, leaves the exchange
+        out and then doesn't bring equal buckets together.
+        """
+        return self.spark.read.parquet(*(self.paths[t] for t in dict.fromkeys(self.runs.values())))
 
     def compact(self) -> None:
         """Merge all runs into one; the old runs go once the new one is written.
@@ -88,15 +94,14 @@ class MessageStore:
         old, merged = set(self.runs.values()), self._write(_merge(self._union(), self.keys), "compacted")
         self.runs = dict.fromkeys(self.runs, merged)
         for name in old:
-            location = self.spark.sql(f"describe formatted {name}").filter("col_name = 'Location'").first()["data_type"]
             self.spark.sql(f"drop table {name}")
-            scratch.remove(self.spark, location)
+            scratch.remove(self.spark, self.paths.pop(name))
 
-    def read(self) -> DataFrame:
-        """One row per message: keys, payload and ``copies``, the number of rows it came in."""
+    def read(self, count: str = "copies") -> DataFrame:
+        """One row per message: keys, payload and ``count``, the number of rows it came in."""
         tables = list(dict.fromkeys(self.runs.values()))
         merged = self.spark.table(tables[0]) if len(tables) == 1 else _merge(self._union(), self.keys)
-        return merged.select(*self.keys, *(F.col("_row")[c].alias(c) for c in self.payload), F.col("_copies").alias("copies"))
+        return merged.select(*self.keys, *(F.col("_row")[c].alias(c) for c in self.payload), F.col("_copies").alias(count))
 
 
 def collapse_deliveries(df: DataFrame, keys: list[str], order: list[str], payload: list[str] | None = None, required: str | None = None, batch_runs: int = 1, keep_unkeyed: bool = True) -> DataFrame:
@@ -107,7 +112,9 @@ def collapse_deliveries(df: DataFrame, keys: list[str], order: list[str], payloa
     null or blank have no identity: each is kept with copies = 1, or left out if
     ``keep_unkeyed`` is false.  Of equal rows and of ties in ``order`` one is
     kept.  An empty table gives an empty result.  Columns of the input that are
-    called like the helper columns are only read if named in ``payload``.
+    called like the helper columns are only read if they are in ``payload``
+    (default: all but the keys); if one of those is called ``copies``, the count
+    is called ``copies_``.
 
     batch_runs: into how many runs a bulk load is cut (by a hash of the order
     columns); one is right unless uploads should be resumable piece by piece.
@@ -122,9 +129,10 @@ def collapse_deliveries(df: DataFrame, keys: list[str], order: list[str], payloa
     for run in range(batch_runs):
         part = keyed if batch_runs == 1 else keyed.filter(F.pmod(F.xxhash64(*order), F.lit(batch_runs)) == run)
         store.upsert(part, f"run-{run}")
-    out = store.read()
+    count = "copies_" if "copies" in payload else "copies"
+    out = store.read(count)
     if keep_unkeyed:
-        out = out.unionByName(rows.filter(~has).select(*keys, *payload, F.lit(1).cast("bigint").alias("copies")))
+        out = out.unionByName(rows.filter(~has).select(*keys, *payload, F.lit(1).cast("bigint").alias(count)))
     return out
 
 
