@@ -14,8 +14,8 @@ CLEAN = [
 @pytest.fixture(scope="module")
 def model():
     rng = random.Random(9)
-    latin = [" ".join(rng.choices(["sapien", "dolor", "magna", "mattis", "tempor", "velum", "velum"], k=9)) for _ in range(60)]
-    return ResidueModel.fit([(p, 80) for p in CLEAN] + [("Please enable JavaScript to open the portal.", 3)] + [(p, 1) for p in latin])
+    latin = [" ".join(rng.choices(["sapien", "dolor", "magna", "mattis", "tempor", "ipsum", "nulla", "libero", "ornare", "vitae", "fusce", "porta", "velum"], k=9)) for _ in range(60)]
+    return ResidueModel.fit([(p, 800) for p in CLEAN] + [("Please enable JavaScript to open the portal.", 3)] + [(p, 1) for p in latin])
 
 
 @pytest.mark.parametrize("text", ["Patient {{ visit_date }} was seen.", "Amount due: [INSERT INSURER HERE]", "${amount_due}", "__DOB__", "%(reason)s", "<% facility %>", "Please enable JavaScript to view this report.", "502 Bad Gateway", "Lorem ipsum dolor sit amet", "Your text goes here.", "CPT 97160, balance 47.00 Amount due: {{amount_due}}"])
