@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire import scratch
 from quire.functions import keys as K
 from quire.functions import lexicons as L
 from quire.functions import redaction as R
@@ -12,6 +13,7 @@ from quire.functions import text as X
 from quire.operators import chunks, evidence, jobs, pages, ranking, summaries
 from quire.scratch import table
 from quire.sources.sinks import canonical_json
+from quire.streaming import jobs as streams
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -216,7 +218,15 @@ def packed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.pack_pages(d.select("sample_id", texts.alias("pages")), "pages", ["sample_id"], max_tokens=200, min_tokens=100, overlap_tokens=20)
 
 
-@query()
+_NEXT = "least(length(text), least(lo + 3000, case when lo + 2600 >= length(text) then length(text) when regexp_matches(substr(text, lo + 2601, 401), '[ \n\t]') then lo + 2600 + length(regexp_extract(substr(text, lo + 2601, 401), '^[^ \n\t]*')) else lo + 3000 end))"
+
+
+@query(f"""with recursive w as (
+             select doc_id, text, 0 as lo, case when length(text) <= 3000 then length(text) else {_NEXT} end as hi from (select doc_id, text, 0 as lo from documents where length(text) > 0)
+             union all select doc_id, text, lo, {_NEXT} as hi from (select doc_id, text, hi - 320 as lo from w where hi < length(text))),
+           k as (select doc_id, case when length(text) <= 3000 then text else {_strip('substr(text, lo + 1, hi - lo)')} end as t, lo, length(text) as n from w),
+           f as (select * from k where n <= 3000 or t <> '')
+           select doc_id, (row_number() over (partition by doc_id order by lo))::int as chunk_index, (count(*) over (partition by doc_id))::int as chunk_total, t as text, greatest(1, ceil(length(t) / 4)::int) as approx_tokens from f""")
 def sliding_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping windows over documents."""
     return chunks.sliding_windows(table(spark, sf_dir, "documents"), "text", ["doc_id"], target_chars=2600, max_chars=3000)
@@ -281,6 +291,21 @@ def document_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("strategy", pages.summary_route()["strategy"])
 
 
+_ADMIN, _CLIN, _META = (f"({_count('l', w)})" for w in (L.PAGE_ADMIN, L.PAGE_CLINICAL, L.PAGE_METADATA))
+_VISIT = "(contains(l, 'established patient visit') or contains(l, 'new patient visit'))"
+_PAIRS = " or ".join(f"(contains(l, {q(a)}) and contains(l, {q(b)}))" for a, b in L.PAGE_ADMIN_PAIRS)
+
+
+@query(f"""with p as (select sample_id, page_number, {_PARAGRAPHS("coalesce(text, '')")} as t from {_PAGES}), k as (select *, lower(t) as l, greatest({_nonspace('t')}, 1) as sp from p)
+           select sample_id, page_number, case when t = '' then 'empty' when len({_tokens('t')}) < 20 then 'too_short' when {_any('l', L.PAGE_HARD_REJECT)} then 'hard_reject' when {_PAIRS} then 'workflow_admin'
+             when {_ADMIN} >= {_CLIN} + 2 then 'admin_dominant' when {_META} >= 4 and {_CLIN} < 4 then 'metadata_dominant' when not {_VISIT} and {_present('l', L.PAGE_HEADER_NOISE)} >= 2 and {_CLIN} < 8 then 'header_noise'
+             when not {_VISIT} and {_digits('t')} / sp >= 0.14 and {_letters('t')} / sp <= 0.78 and {_CLIN} < 12 then 'numeric_noise' when not ({_VISIT} or {_CLIN} >= 3 or (contains(l, 'medication') and {_ADMIN} = 0)) then 'low_signal' end as reason from k""")
+def page_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why pages aren't worth reading, duplicates apart."""
+    p = _pages(spark, sf_dir).select("sample_id", "page_number", X.clean_paragraphs(F.coalesce("text", F.lit(""))).alias("t"))
+    return p.select("sample_id", "page_number", pages.page_reason("t", 20).alias("reason"))
+
+
 @query()
 def selected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages worth reading."""
@@ -346,7 +371,21 @@ def _job_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.join(parts, "job_id")
 
 
-@query()
+def _phrases_sql(side: str) -> str:
+    return f"""(with t as (select job_id, {_CONTENT(side)} as t from pairs), w as (select job_id, unnest(t) as phrase, 0 as kind, generate_subscripts(t, 1) - 1 as pos, t from t),
+        p as (select job_id, t[pos + 1] || ' ' || t[pos + 2] as phrase, 1 as kind, pos from w where pos + 2 <= len(t) and t[pos + 1] <> t[pos + 2]),
+        c as (select job_id, phrase, count(*) as n, min(kind) as kind, min(pos) as pos from (select job_id, phrase, kind, pos from w union all select * from p) group by job_id, phrase)
+        select job_id, phrase from (select *, row_number() over (partition by job_id order by n desc, kind, pos) as rank from c) where rank <= 200)"""
+
+
+@query(f"""with s as (select job_id, coalesce(string_agg(case when {_strip('text')} <> '' then text end, chr(10) order by delivery_id), '') as source from ocr_chunks where job_id is not null group by job_id),
+           r as (select job_id, coalesce(string_agg(case when {_strip('summary_text')} <> '' then summary_text end, chr(10) order by result_id), '') as summary from summary_results where job_id is not null group by job_id),
+           pairs as (select job_id, source, summary from s join r using (job_id)), a as {_phrases_sql('source')}, b as {_phrases_sql('summary')},
+           ca as (select job_id, count(*) as a from a group by job_id), cb as (select job_id, count(*) as b from b group by job_id), cc as (select job_id, count(*) as c from a join b using (job_id, phrase) group by job_id),
+           o as (select job_id, list_distinct({_CONTENT('source')}) as x, list_distinct({_CONTENT('summary')}) as y from pairs),
+           v as (select job_id, case when least(len(x), len(y)) = 0 then 0.0 else round(len(list_intersect(x, y)) / least(len(x), len(y)), 3) end as token_overlap from o),
+           z as (select v.job_id, token_overlap, case when least(coalesce(a, 0), coalesce(b, 0)) > 0 then coalesce(c, 0) / least(a, b) else 0.0 end as ph, least(coalesce(a, 0), coalesce(b, 0)) as m from v left join ca using (job_id) left join cb using (job_id) left join cc using (job_id))
+           select job_id, token_overlap, round(ph, 6) as phrase_overlap, case when m = 0 then 0.0 else round(0.55 * ph + 0.45 * token_overlap, 3) end as alignment from z""")
 def job_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of a job's text its summaries speak about."""
     return ranking.content_alignment(_job_pairs(spark, sf_dir), ["job_id"], "source", "summary")
@@ -361,7 +400,18 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.claims(evidence.statements(sections.filter("content is not null"), ["job_id"]), sources, ["job_id"])
 
 
-@query()
+@query(f"""with sec as (select job_id, ordinal, coalesce(slug, 'section') || '-' || section_id as slug, title, content from summary_sections where content is not null and kind in ('mcc', 'clinical')),
+           li as (select job_id, ordinal, slug, title, list_filter(list_transform({_lines('content')}, lambda x: {_strip("regexp_replace(" + _strip('x') + ", '^[-•]', '')")}), lambda x: x <> '') as l from sec),
+           st as (select job_id, ordinal, slug, title, unnest(l[1:3]) as statement, generate_subscripts(l[1:3], 1) as no from li),
+           src as (select job_id, span_key, page, text_snippet as t from evidence_spans where text_snippet is not null and text_snippet <> ''),
+           p as (select *, {_tokens('statement')} as mine, {_tokens('t')} as theirs, instr(lower(t), lower({_strip('statement')})) as a, {_strip('statement')} as s from st join src using (job_id)),
+           m as (select *, len(list_filter(mine, lambda x: list_contains(theirs, x))) as hits, list_filter(mine, lambda x: instr(lower(t), x) > 0)[1] as fw from p),
+           sc as (select *, case when s <> '' and a > 0 then least(0.99, length(s) / greatest(length(t), 1)) when s <> '' and hits > 0 then least(0.95, hits / greatest(len(mine), 1)) end as score,
+                  case when s <> '' and a > 0 then {_strip('substr(t, greatest(0, a - 33) + 1, least(length(t), a - 1 + length(s) + 32) - greatest(0, a - 33))')}
+                       when s <> '' and hits > 0 then {_strip("substr(t, greatest(0, instr(lower(t), fw) - 41) + 1, least(length(t), instr(lower(t), fw) - 1 + 160) - greatest(0, instr(lower(t), fw) - 41))")} end as snippet from m),
+           b as (select *, row_number() over (partition by job_id, ordinal, slug, title, no, statement order by score desc, span_key) as rk from sc where score is not null and snippet <> ''),
+           c as (select *, row_number() over (partition by job_id order by ordinal nulls first, slug, no, statement) as claim_no from b where rk = 1)
+           select job_id, claim_no::int as claim_no, slug || '-claim-' || claim_no as claim_id, slug || '-span-' || claim_no as span_id, slug, title, statement, page, snippet, round(score, 3) as confidence from c where claim_no <= 12""")
 def supported_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements of summaries with the evidence span that supports each best."""
     return _claims(spark, sf_dir)
@@ -409,15 +459,40 @@ def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "ocr_chunks").filter("text is not null").groupBy("job_id").agg(F.round(F.avg(F.length("text")), 2).alias("avg_chunk_chars"), F.count(F.lit(1)).alias("chunks"))
 
 
-@query()
+_PLACE = lambda e: f"regexp_matches({e}, {q(L.PLACEHOLDER)})"
+
+
+def _merged_list(field: str) -> str:
+    return f"""(select j.job_id, coalesce(m.v, '') as v from (select distinct job_id from test_summaries where job_id is not null) j left join (
+        select job_id, string_agg(item, '; ' order by summary_id, i) as v from (select *, row_number() over (partition by job_id order by summary_id, i) as rn from (
+            select *, row_number() over (partition by job_id, key order by summary_id, i) as first from (
+                select job_id, summary_id, i, item, trim({_replace('lower(item)', '[^a-z0-9]+', ' ')}) as key from (
+                    select job_id, summary_id, {_strip('u.x')} as item, u.i as i from (select job_id, summary_id, unnest(list_transform(string_split({field}, chr(10)), lambda x, i: {{'x': x, 'i': i}})) as u from test_summaries where {field} is not null))
+                where item <> '' and not {_PLACE('item')})) where first = 1) where rn <= 12 group by job_id) m using (job_id))"""
+
+
+@query(
+    f"select d.job_id, d.v as diagnoses_list, p.v as providers_list, m.v as medications_list from {_merged_list('diagnoses_list')} d join {_merged_list('providers_list')} p using (job_id) join {_merged_list('medications_list')} m using (job_id)"
+)
 def diagnosis_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diagnoses, providers and medications of each job's summaries merged without repeats."""
-    lists = {f: F.split(f, "\n").alias(f) for f in ("diagnoses_list", "providers_list", "medications_list")}
-    d = table(spark, sf_dir, "test_summaries").select("job_id", "summary_id", *lists.values())
-    return summaries.merge_lists(d, "job_id", ["summary_id"], list(lists), {f: 12 for f in lists})
+    names = ["diagnoses_list", "providers_list", "medications_list"]
+    d = table(spark, sf_dir, "test_summaries").select("job_id", "summary_id", *(F.split(f, "\n").alias(f) for f in names))
+    merged = summaries.merge_lists(d, "job_id", ["summary_id"], names, {f: 12 for f in names})
+    return merged.select("job_id", *(F.array_join(f, "; ").alias(f) for f in names))
 
 
-@query()
+_KEY_SLUGS = ("provider_seen", "reason_for_visit", "clinical_findings", "treatment_plan", "diagnoses", "healthcare_providers")
+_IN = lambda words: "(" + ", ".join(q(w) for w in words) + ")"
+
+
+@query(f"""with a as (select job_id, trim({_replace('lower(slug)', '[^a-z0-9]+', '_')}, '_') as slug, coalesce(content, '') as t from summary_sections),
+           b as (select job_id, slug, {_replace('lower(' + _strip('t') + ')', '[.]+$', '')} as low, {_tokens('t')} as k, lower(t) as l from a),
+           c as (select job_id, slug, not (low = '' or low in {_IN(L.SECTION_PLACEHOLDERS)}) as f, len(k) as n, len(list_filter(k, lambda x: x in {_IN(L.SUMMARY_ADMIN_TOKENS)})) as ad,
+                 len(list_filter(k, lambda x: x in {_IN(L.CLINICAL_TOKENS)})) as cl, {_count('l', L.SUMMARY_ADMIN_PHRASES)} as ph from b),
+           d as (select job_id, count(distinct case when f and slug in {_IN(_KEY_SLUGS)} then slug end) as key_sections, count_if(f and ad + 2 * ph > cl and ad + ph > 0) as admin_sections, count_if(f and cl >= 2) as dense_sections,
+                 round(sum(ad) / greatest(sum(n), 1), 3) as admin_token_ratio from c group by job_id)
+           select *, 6 - key_sections as missing_key_sections from d""")
 def section_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key, admin-heavy and clinically dense sections of each job."""
     return summaries.section_quality(table(spark, sf_dir, "summary_sections"), ["job_id"])
@@ -541,3 +616,39 @@ def section_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections as canonical JSON."""
     d = table(spark, sf_dir, "summary_sections").select("section_id", "slug", "title", "content", "ordinal", "kind", "extra")
     return d.select("section_id", canonical_json(d).alias("json"))
+
+
+# --- streams, run to the end of what there is ----------------------------------
+
+
+def _drained(stream: DataFrame, mode: str, label: str) -> DataFrame:
+    """Run a stream over the files there are and read its result."""
+    spark = stream.sparkSession
+    path = scratch.new_dir(spark, label)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
+
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    run.awaitTermination()
+    if run.exception():
+        raise run.exception()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # as a pattern the path may be a file as well as a folder
+    stream = streams.poll_files(spark, f"{sf_dir}/{name}.parque[t]", table(spark, sf_dir, name).schema, "parquet")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n from events group by 1, 2")
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by kind and hour, counted by a stream."""
+    return _drained(streams.windowed_counts(_stream(spark, sf_dir, "events"), "ts", ["event_type"], "1 hour", "60 days"), "complete", "windows")
+
+
+@query("select user_id, max(ts) as ts, max_by(event_type, {'ts': ts, 'e': event_type}) as event_type, count(*) as events from events group by user_id")
+def streamed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each key, folded by a stream."""
+    return _drained(streams.latest_states(_stream(spark, sf_dir, "events"), "user_id", "ts", ["event_type"]), "complete", "states")
