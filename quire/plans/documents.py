@@ -10,7 +10,7 @@ from quire.functions import keys as K
 from quire.functions import lexicons as L
 from quire.functions import redaction as R
 from quire.functions import text as X
-from quire.operators import chunks, evidence, jobs, pages, ranking, summaries
+from quire.operators import chunks, evidence, jobs, pages, pipeline, ranking, summaries
 from quire.scratch import table
 from quire.sources.sinks import canonical_json
 from quire.streaming import jobs as streams
@@ -509,6 +509,20 @@ def length_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(m, "job_id").select("job_id", summaries.length_gate(F.col("n"), F.col("s"), F.col("pages")).alias("g")).select("job_id", "g.*")
 
 
+@query()
+def structured_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents summarised at once or in windows, as their figures ask for."""
+    return pipeline.routed(table(spark, sf_dir, "documents").filter("text is not null"), "doc_id", "text")
+
+
+@query()
+def summary_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medical summaries as sections with claims and their evidence."""
+    docs = table(spark, sf_dir, "test_summaries").filter("medical_summary is not null").groupBy("job_id").agg(F.min_by("medical_summary", "summary_id").alias("text"))
+    sources = table(spark, sf_dir, "evidence_spans").select("job_id", F.col("span_key").alias("source_no"), "page", F.col("text_snippet").alias("text"))
+    return pipeline.contract(docs, sources, "job_id", "text")
+
+
 @query()
 def headed_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat summaries in the fixed layout."""
