@@ -8,8 +8,8 @@ assignment over sketch similarity (names only break ties), which gives the
 renames; what stays unmatched was removed or added.
 
 Scale: one pass flattens the records and folds counts and sketches inside each
-Arrow batch; the rest is a hash aggregation over (file, path, register) with
-map-side combining.  What reaches one task afterwards is the schema of two
+Arrow batch; the rest is a hash aggregation over (field, register) with map-side
+combining, in which a field is a 64-bit hash of its file and path.  What reaches one task afterwards is the schema of two
 files, never their rows.
 """
 
@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.scratch import stage
+
 REGISTERS = 64
 #: Least share of equal sketch registers at which two fields may be one renamed field.
 SAME_VALUES = 0.6
 
 CHANGE_SCHEMA = "feed string, file_no int, change_kind string, old_path string, new_path string"
-_PROFILE = "feed string, file_no int, path string, kind string, side int, reg int, mins bigint, n bigint"
+_PROFILE = "feed string, file_no int, path string, kind string, n bigint, of bigint, reg int, mins bigint"
 
 
 def kind_of(value: object) -> str:
@@ -69,10 +71,15 @@ def walk(value: object, path: str, out: dict[str, tuple[str, list[str]]]) -> lis
     return [json.dumps(value)]
 
 
+def _field_id(feed: str, file_no: int, path: str, kind: str) -> int:
+    return xxhash.xxh64_intdigest(f"{feed}\0{file_no}\0{path}\0{kind}") - (1 << 63)
+
+
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of two sorts: fields with their counts, and register minima that name their field by a hash only."""
     for batch in batches:
         counts: Counter = Counter()
-        mins: dict[tuple, int] = {}
+        mins: dict[tuple[int, int], int] = {}
         for feed, file_no, payload, before, after in zip(batch.feed, batch.file_no, batch.payload, batch.in_previous, batch.in_next):
             record = read_object(payload)
             if record is None:
@@ -83,17 +90,18 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for path, (kind, texts) in out.items():
                 counts[feed, file_no, path, kind] += 1
                 if before or after:
+                    field = _field_id(feed, file_no, path, kind)
                     for text in texts:
                         h = xxhash.xxh64_intdigest(f"{key}\0{text}") >> 1
-                        for side, used in ((0, after), (1, before)):
-                            k = (feed, file_no, path, kind, side, h % REGISTERS)
+                        # registers towards the next file come first, those towards the previous one after them
+                        for base, used in ((0, after), (REGISTERS, before)):
+                            k = (field, base + h % REGISTERS)
                             if used and h < mins.get(k, 1 << 63):
                                 mins[k] = h
             counts[feed, file_no, "", "object"] += 1
-        rows = [(*k, -1, -1, None, n) for k, n in counts.items()] + [(*k, m, 0) for k, m in mins.items()]
-        out_frame = pd.DataFrame(rows, columns=["feed", "file_no", "path", "kind", "side", "reg", "mins", "n"])
-        out_frame["mins"] = out_frame["mins"].astype("Int64")
-        yield out_frame
+        rows = [(*k, n, _field_id(*k), None, None) for k, n in counts.items()] + [(None, None, None, None, None, f, r, m) for (f, r), m in mins.items()]
+        frame = pd.DataFrame(rows, columns=["feed", "file_no", "path", "kind", "n", "of", "reg", "mins"])
+        yield frame.astype({"file_no": "Int32", "n": "Int64", "reg": "Int32", "mins": "Int64"})
 
 
 def similarity(a: dict[int, int], b: dict[int, int]) -> float:
@@ -204,7 +212,10 @@ def _compare_group(frame: pd.DataFrame) -> pd.DataFrame:
     for side, path, kind, n, regs in zip(frame.pair_side, frame.path, frame.kind, frame.n, frame.regs):
         have = sides[side].get(path)
         if have is None or (n, kind) > (have["n"], have["kind"]):
-            sides[side][path] = {"kind": kind, "n": n, "sketch": {r["reg"]: r["mins"] for r in regs if r["side"] == side}}
+            # the older file's registers towards the next one, the later file's towards the previous one
+            low = side * REGISTERS
+            own = regs if regs is not None else ()
+            sides[side][path] = {"kind": kind, "n": n, "sketch": {r["reg"] - low: r["mins"] for r in own if low <= r["reg"] < low + REGISTERS}}
     if not sides[0] or not sides[1]:
         return pd.DataFrame(columns=["feed", "file_no", "change_kind", "old_path", "new_path"])
     for s in sides:
@@ -218,8 +229,8 @@ def _record_key():
 
 
 def profile_files(lines: DataFrame) -> DataFrame:
-    """Per (feed, file_no, path, kind): records with it and its sketch registers
-    towards the next (side 0) and the previous (side 1) file."""
+    """Per (feed, file_no, path, kind): records with it and its sketch registers,
+    those towards the next file before those towards the previous one."""
     lines = lines.select("feed", F.col("file_no").cast("int"), "payload").filter("feed is not null and file_no is not null and payload is not null")
     keys = lines.select("feed", "file_no", _record_key().alias("record_key")).filter("record_key is not null").distinct()
     files = keys.select("feed", "file_no").distinct()
@@ -238,10 +249,13 @@ def profile_files(lines: DataFrame) -> DataFrame:
         .join(sides, ["feed", "record_key", "file_no"], "left")
         .select("feed", "file_no", "payload", F.coalesce("in_previous", F.lit(False)).alias("in_previous"), F.coalesce("in_next", F.lit(False)).alias("in_next"))
     )
-    registers = marked.mapInPandas(_profile, _PROFILE).groupBy("feed", "file_no", "path", "kind", "side", "reg").agg(F.min("mins").alias("mins"), F.sum("n").alias("n"))
-    return registers.groupBy("feed", "file_no", "path", "kind").agg(
-        F.sum("n").alias("n"), F.filter(F.collect_list(F.struct("side", "reg", "mins")), lambda r: r.side >= 0).alias("regs")
-    )
+    rows = marked.mapInPandas(_profile, _PROFILE)
+    # one pass over the records feeds both aggregations
+    rows = stage(rows, "profile")
+    fields = rows.filter("feed is not null").groupBy("feed", "file_no", "path", "kind", "of").agg(F.sum("n").alias("n"))
+    minima = rows.filter("reg is not null").groupBy("of", "reg").agg(F.min("mins").alias("mins"))
+    sketches = minima.groupBy("of").agg(F.collect_list(F.struct("reg", "mins")).alias("regs"))
+    return fields.join(sketches, "of", "left").select("feed", "file_no", "path", "kind", "n", "regs")
 
 
 def schema_changes(lines: DataFrame) -> DataFrame:
