@@ -228,9 +228,10 @@ def _record_key():
     return F.expr("try_variant_get(try_parse_json(payload), '$.record_key', 'string')")
 
 
-def profile_files(lines: DataFrame) -> DataFrame:
-    """Per (feed, file_no, path, kind): records with it and its sketch registers,
-    those towards the next file before those towards the previous one."""
+def profile_files(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What files hold: fields (feed, file_no, path, kind, of, n records) and
+    register minima (of, reg, mins), registers towards the next file before
+    those towards the previous one; both from one pass, staged."""
     lines = lines.select("feed", F.col("file_no").cast("int"), "payload").filter("feed is not null and file_no is not null and payload is not null")
     keys = lines.select("feed", "file_no", _record_key().alias("record_key")).filter("record_key is not null").distinct()
     files = keys.select("feed", "file_no").distinct()
@@ -249,13 +250,9 @@ def profile_files(lines: DataFrame) -> DataFrame:
         .join(sides, ["feed", "record_key", "file_no"], "left")
         .select("feed", "file_no", "payload", F.coalesce("in_previous", F.lit(False)).alias("in_previous"), F.coalesce("in_next", F.lit(False)).alias("in_next"))
     )
-    rows = marked.mapInPandas(_profile, _PROFILE)
-    # one pass over the records feeds both aggregations
-    rows = stage(rows, "profile")
+    rows = stage(marked.mapInPandas(_profile, _PROFILE), "profile")
     fields = rows.filter("feed is not null").groupBy("feed", "file_no", "path", "kind", "of").agg(F.sum("n").alias("n"))
-    minima = rows.filter("reg is not null").groupBy("of", "reg").agg(F.min("mins").alias("mins"))
-    sketches = minima.groupBy("of").agg(F.collect_list(F.struct("reg", "mins")).alias("regs"))
-    return fields.join(sketches, "of", "left").select("feed", "file_no", "path", "kind", "n", "regs")
+    return fields, rows.filter("reg is not null").select("of", "reg", "mins")
 
 
 def schema_changes(lines: DataFrame) -> DataFrame:
@@ -268,17 +265,25 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     the alphabet).  Repeated lines change nothing.  An empty table has no
     changes; other columns are ignored.
     """
-    profile = profile_files(lines)
-    files = profile.filter("path = ''").select("feed", "file_no").distinct()
+    fields, minima = profile_files(lines)
+    files = fields.filter("path = ''").select("feed", "file_no").distinct()
     w = Window.partitionBy("feed").orderBy("file_no")
-    files = files.select("feed", "file_no", F.lead("file_no").over(w).alias("next_no"))
+    files = files.select("feed", "file_no", F.lead("file_no").over(w).alias("next_no"), F.when(F.lag("file_no").over(w).isNotNull(), F.col("file_no")).alias("own_no"))
     sided = (
-        profile.join(files, ["feed", "file_no"])
-        .withColumn("as", F.explode(F.array(F.struct(F.col("next_no").alias("pair_file_no"), F.lit(0).alias("pair_side")), F.struct(F.col("file_no").alias("pair_file_no"), F.lit(1).alias("pair_side")))))
-        .select("feed", "path", "kind", "n", "regs", "as.*")
+        fields.join(files, ["feed", "file_no"])
+        .withColumn("as", F.explode(F.array(F.struct(F.col("next_no").alias("pair_file_no"), F.lit(0).alias("pair_side")), F.struct(F.col("own_no").alias("pair_file_no"), F.lit(1).alias("pair_side")))))
+        .select("feed", "path", "kind", "of", "n", "as.*")
         .filter("pair_file_no is not null")
     )
-    return sided.groupBy("feed", "pair_file_no").applyInPandas(_compare_group, CHANGE_SCHEMA)
+    # a path that both files of a pair have keeps its name; only the others' values are compared
+    both = Window.partitionBy("feed", "pair_file_no", "path")
+    sided = stage(sided.withColumn("alone", F.min("pair_side").over(both) == F.max("pair_side").over(both)), "fields")
+    wanted = minima.join(sided.filter("alone").select("of").distinct(), "of", "left_semi")
+    sketches = wanted.groupBy("of", "reg").agg(F.min("mins").alias("mins")).groupBy("of").agg(F.collect_list(F.struct("reg", "mins")).alias("regs"))
+    compared = sided.filter("alone").join(sketches, "of", "left")
+    plain = sided.filter("not alone").withColumn("regs", F.lit(None).cast("array<struct<reg:int,mins:bigint>>"))
+    cols = ["feed", "pair_file_no", "pair_side", "path", "kind", "n", "regs"]
+    return compared.select(cols).unionByName(plain.select(cols)).groupBy("feed", "pair_file_no").applyInPandas(_compare_group, CHANGE_SCHEMA)
 
 
 #: The constant columns of the unified table, by plain field name.
