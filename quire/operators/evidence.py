@@ -32,11 +32,24 @@ def claims(statements_df: DataFrame, sources: DataFrame, doc: list[str], most: i
     Of equal scores the first source counts; statements without any match are
     left out and don't use up numbers.  ``prefer_exact`` puts verbatim matches
     before others whatever their scores.  Statements meet only the sources of
-    their own document (an equi-join on ``doc``), and the best source is kept by
-    an aggregation that combines before the shuffle.
+    their own document (an equi-join on ``doc``), and only those that can still
+    get a number: about ``most`` a document, so pairs grow with the sources.  The
+    best source is kept by an aggregation that combines before the shuffle.
     """
     usable = sources.filter(F.col("text").isNotNull() & (F.col("text") != "")).select(*doc, "source_no", "page", F.col("text").alias("_source"))
-    pairs = statements_df.join(usable, doc).withColumn("_m", snippet_score(F.col("statement"), F.col("_source"))).filter("_m is not null and _m.snippet <> ''")
+    # a statement shares a word with some source or is too short to tell; the first ``most`` that do settle which can have a number
+    words = usable.select(*doc, F.explode(F.array_distinct(X.word_tokens("_source"))).alias("_w")).distinct()
+    order_cols = ["ordinal", "slug", "title", "statement_no", "statement"]
+    own = F.array_distinct(X.word_tokens("statement"))
+    marked = (
+        statements_df.select(*doc, *order_cols, F.explode_outer(own).alias("_w"))
+        .join(words.withColumn("_hit", F.lit(True)), [*doc, "_w"], "left")
+        .groupBy(*doc, *order_cols)
+        .agg(F.coalesce(F.max("_hit"), F.lit(False)).alias("_sure"))
+    )
+    before = Window.partitionBy(*doc).orderBy("ordinal", "slug", "statement_no", "statement").rowsBetween(Window.unboundedPreceding, -1)
+    marked = marked.filter(F.col("_sure") | (F.size(own) <= 2)).withColumn("_n", F.coalesce(F.sum(F.col("_sure").cast("int")).over(before), F.lit(0)))
+    pairs = marked.filter(F.col("_n") < most).join(usable, doc).withColumn("_m", snippet_score(F.col("statement"), F.col("_source"))).filter("_m is not null and _m.snippet <> ''")
     exact = F.position(F.lower(X.strip("statement")), F.lower(F.col("_source"))) > 0
     order = F.struct((~exact if prefer_exact else F.lit(False)).alias("inexact"), (-F.col("_m.score")).alias("neg"), "source_no")
     best = pairs.groupBy(*doc, "ordinal", "slug", "title", "statement_no", "statement").agg(F.min(F.struct(order.alias("o"), F.col("page").alias("page"), F.col("_m.snippet").alias("snippet"))).alias("b"))
