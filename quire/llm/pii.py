@@ -60,7 +60,8 @@ STREETS = r"(?:street|st|avenue|ave|road|rd|boulevard|blvd|lane|ln|court|ct|terr
 _UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĘĚĞĢĦĪİĶĹĻŁŃŇŐŒŔŘŚŞŠŢŤŪŮŰŹŻŽ"
 _IN = r"\w'’|!†"
 _CAP = rf"[{_UP}][{_IN}]*(?:-\s?[{_IN}]+)*"
-_RUN = re.compile(rf"(?<![\w@.+]){_CAP}\.?(?:,?\s{{1,3}}{_CAP}\.?){{1,5}}")
+#: Capitalised words in a row, however many; only the spans inside are bounded.
+_RUN = re.compile(rf"(?<![\w@.+]){_CAP}\.?(?:,?\s{{1,3}}{_CAP}\.?)+")
 #: A title and the word after it.  All alternatives start with a capital, which lets the scan skip; callers check what stands before.
 _ONE = re.compile("(?:" + "|".join(sorted({v for t in TITLES for v in (t.capitalize(), t.upper())})) + rf")\b\.?\s{{1,3}}({_CAP})")
 _NURSE = re.compile(rf"nurse\s{{1,3}}({_CAP})")
@@ -116,12 +117,13 @@ def _number(text: str, lo: int, hi: int, out: list[tuple[int, int, str]]) -> Non
         out.append((start, ext.end(), "phone"))
 
 
-@functools.lru_cache(100_000)
-def _name_spans(run: str) -> tuple[tuple[int, int], ...]:
-    """Spans within a run of capitalised words that can be names."""
+#: Runs longer than this, in characters, are rare and not remembered.
+_LONG_RUN = 200
+
+
+def _spans_of(run: str) -> tuple[tuple[int, int], ...]:
+    """Spans of two to four words within a run of capitalised words that can be names."""
     parts = [w.span() for w in _WORD_IN_RUN.finditer(run)]
-    if len(parts) > 5 and run.isupper():
-        return ()  # a line in capitals
     known = [_plain(run[a:b]) in NOT_NAMES for a, b in parts]
     return tuple(
         (parts[i][0], parts[j][1])
@@ -131,6 +133,13 @@ def _name_spans(run: str) -> tuple[tuple[int, int], ...]:
     )
 
 
+_remembered_spans = functools.lru_cache(100_000)(_spans_of)
+
+
+def _name_spans(run: str) -> tuple[tuple[int, int], ...]:
+    return (_spans_of if len(run) > _LONG_RUN else _remembered_spans)(run)
+
+
 def segments(text: str) -> list[tuple[int, int, str]]:
     """Candidate segments (start, end, type); a span may stand for several types."""
     out: list[tuple[int, int, str]] = []

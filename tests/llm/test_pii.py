@@ -77,3 +77,24 @@ def test_edges(spark, model):
     assert redact_pii(df.select("id", "t").limit(0), "t", ["id"], model).count() == 0
     assert segments("") == [] and model.decode("A" * 500) == []
     assert redact("JONAS LASK\n" * 3, model)[0] is not None
+
+
+@pytest.mark.parametrize(
+    "text, name",
+    [
+        ("Lives at 474 Ninth Orchard St, Elverton. Patient Tomas Quelsley, born 03/16/2001.", "Tomas Quelsley"),
+        ("Referred by Rosa Tannery, MD.\nOld Mill Lane Family Practice. Osmark. Patient Maria J. Tarroarro was seen.", "Maria J. Tarroarro"),
+        ("PATIENT MARIA ORTEGA, BORN IN OSMARK, WAS SEEN TODAY.", "MARIA ORTEGA"),
+    ],
+)
+def test_names_in_long_runs(model, text, name):
+    lo = text.index(name)
+    assert (lo, lo + len(name), "name") in segments(text)
+    assert name not in redact(text, model)[0]
+
+
+def test_runs_of_any_length(model):
+    words = [f"W{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(3000)]
+    text = " ".join(words)
+    found = {text[lo:hi] for lo, hi, kind in segments(text) if kind == "name"}
+    assert all(f"{a} {b}" in found for a, b in zip(words, words[1:]))
