@@ -61,17 +61,24 @@ def routed(docs: DataFrame, key: str, text: str, page_count: str | None = None,
     return whole.unionByName(parts).join(m.select(key, "strategy", "reason"), key)
 
 
-def contract(docs: DataFrame, sources: DataFrame, key: str, text: str) -> DataFrame:
+def contract(docs: DataFrame, sources: DataFrame, key: str, text: str, by: str | None = None) -> DataFrame:
     """Summaries as contracts: key, sections, claims and the notice why there are none.
 
     Sections come from the known headings, or are one section of the whole text;
-    claims are matched to ``sources`` (key, source_no, page, text).
+    claims are matched to ``sources`` (key, source_no, page, text).  ``by`` names
+    a column of ``docs`` that the sources have instead of ``key``, where several
+    documents share their sources; it is a column of the result.
     """
     parts = F.col("_s")
+    keys, of = ([key, by], [by]) if by else ([key], None)
     whole = F.array(F.struct(F.lit("summary").alias("slug"), F.lit("Summary").alias("title"), X.strip(F.col(text)).alias("content"), F.lit(1).alias("ordinal")))
-    sectioned = docs.select(key, text).withColumn("_s", chunks.sections_of(text)).select(key, F.when(F.size(parts) > 0, parts).otherwise(whole).alias("sections"))
-    flat = sectioned.select(key, F.inline("sections")).withColumn("kind", F.lit("mcc"))
-    found = evidence.claims(evidence.statements(flat, [key]), sources, [key])
+    sectioned = docs.select(*keys, text).withColumn("_s", chunks.sections_of(text)).select(*keys, F.when(F.size(parts) > 0, parts).otherwise(whole).alias("sections"))
+    if by:
+        sectioned = stage(sectioned, "sections")  # read four times below
+    flat = sectioned.select(*keys, F.inline("sections")).withColumn("kind", F.lit("mcc"))
+    found = evidence.claims(evidence.statements(flat, keys), sources, [key], by=of)
+    if by:
+        found = stage(found, "claims")
     gathered = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("claim_no", "claim_id", "span_id", "title", "statement", "page", "snippet", "confidence"))).alias("claims"))
-    notice = evidence.claims_notice(docs, sources, found, [key])
+    notice = evidence.claims_notice(docs, sources, found, [key], of)
     return sectioned.join(gathered, key, "left").join(notice, key, "left")

@@ -517,10 +517,10 @@ def structured_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def summary_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Medical summaries as sections with claims and their evidence."""
-    docs = table(spark, sf_dir, "test_summaries").filter("medical_summary is not null").groupBy("job_id").agg(F.min_by("medical_summary", "summary_id").alias("text"))
+    """Every medical summary as sections with claims and the evidence of its job."""
+    docs = table(spark, sf_dir, "test_summaries").filter("medical_summary is not null").select("summary_id", "job_id", F.col("medical_summary").alias("text"))
     sources = table(spark, sf_dir, "evidence_spans").select("job_id", F.col("span_key").alias("source_no"), "page", F.col("text_snippet").alias("text"))
-    return pipeline.contract(docs, sources, "job_id", "text")
+    return pipeline.contract(docs, sources, "summary_id", "text", "job_id")
 
 
 @query()

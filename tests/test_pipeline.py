@@ -1,7 +1,10 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import mentions as N
-from quire.operators import pipeline
+from quire.operators import evidence, pipeline
 
 
 def test_mentions(spark):
@@ -44,3 +47,35 @@ def test_contracts(spark):
     got = {r.id: r for r in pipeline.contract(df, src, "id", "text").collect()}
     assert got[4].claims[0].statement == "knee pain" and got[4].claims[0].page == 3 and got[4].notice is None
     assert got[1].claims is None and got[1].notice == "evidence_unavailable" and got[1].sections[0].slug == "summary"
+
+
+def test_contract_of_every_summary(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(1, "a", "Diagnoses:\nknee pain\nback pain"), (2, "a", "Diagnoses:\nhip pain"), (3, "b", "Plan is rest."), (4, "b", None), (5, None, "Walks well.")]
+    spark.createDataFrame(rows, "summary_id long, job_id string, medical_summary string").write.parquet(f"{tmp_path}/test_summaries.parquet")
+    spans = [(7, "a", 1, "mild knee pain"), (8, "a", 2, "hip pain today"), (9, "c", 3, "rest")]
+    spark.createDataFrame(spans, "span_key long, job_id string, page int, text_snippet string").write.parquet(f"{tmp_path}/evidence_spans.parquet")
+    got = {r.summary_id: r for r in entry.queries()["summary_contracts"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2, 3, 5] and {i: r.job_id for i, r in got.items()} == {1: "a", 2: "a", 3: "b", 5: None}
+    assert [(c.statement, c.page, c.claim_no) for c in got[1].claims] == [("knee pain", 1, 1), ("back pain", 1, 2)]
+    assert [(c.statement, c.page, c.claim_no) for c in got[2].claims] == [("hip pain", 2, 1)]
+    assert got[3].claims is None and got[3].notice == "evidence_unavailable" and got[5].notice == "evidence_unavailable" and got[1].notice is None
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_shared_sources_as_own_sources(spark, monkeypatch, exact):
+    monkeypatch.setattr(evidence, "BLOCK", 5)
+    rng = random.Random(8)
+    word = lambda: rng.choice(("Pain", "knee", "the", "hip-joint", "İm", "don't", "a", "5", "rest", "…", "walks"))
+    text = lambda n: " ".join(word() for _ in range(rng.randint(1, n)))
+    docs = [(i, "xyz"[i % 3], s, f"s{s}", "T", "\n".join(text(5) for _ in range(3)), "mcc") for i in range(25) for s in (1, 2)]
+    long = " ".join(f"w{i}" for i in range(25))
+    docs.append((99, "x", 1, "s1", "T", long + " z", "mcc"))
+    sections = spark.createDataFrame(docs, "id int, job string, ordinal int, slug string, title string, content string, kind string")
+    sources = spark.createDataFrame([("xyz"[i % 3], i, i, rng.choice((None, "", text(9), text(9), text(9), long))) for i in range(60)], "job string, source_no long, page int, text string")
+    own = sections.select("id", "job").distinct().join(sources, "job").drop("job")
+    want = evidence.claims(evidence.statements(sections.drop("job"), ["id"]), own, ["id"], prefer_exact=exact)
+    got = evidence.claims(evidence.statements(sections, ["id", "job"]), sources, ["id"], prefer_exact=exact, by=["job"])
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and got.count() > 100
