@@ -262,6 +262,15 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "ocr_samples").select("sample_id", F.explode("pages").alias("p")).select("sample_id", "p.page_number", "p.text")
 
 
+def _all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of every sample: those given, else those of its text, which form feeds part; without text there are none."""
+    d = table(spark, sf_dir, "ocr_samples")
+    split = F.transform(F.split("text", "\f"), lambda t, i: F.struct((i + 1).cast("int").alias("page_number"), t.alias("text")))
+    given = F.transform("pages", lambda p: F.struct(p.page_number.alias("page_number"), p.text.alias("text")))
+    own = F.when(F.size("pages") > 0, given).when(F.col("text") != "", split)
+    return d.select("sample_id", F.explode(own).alias("p")).select("sample_id", "p.page_number", "p.text")
+
+
 @query(f"""with p as (select sample_id, length({_strip("coalesce(text, '')")}) as n, {_letters("coalesce(text, '')")} as a, {_nonspace("coalesce(text, '')")} as s from {_PAGES}),
            m as (select sample_id, count(*)::int as page_count, count_if(n > 0)::int as non_empty_pages, sum(n)::int as total_chars, round(sum(n) / count(*), 1) as avg_chars_per_page,
                  round(count_if(n < 80) / count(*), 3) as short_page_ratio, round(sum(a) / greatest(sum(s), 1), 3) as alpha_ratio, round(count_if(n > 0) / count(*), 3) as non_empty_page_ratio from p group by sample_id),
@@ -308,14 +317,14 @@ def page_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def selected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages worth reading."""
-    return pages.select_pages(_pages(spark, sf_dir), ["sample_id"], "page_number", min_words=20)
+    """Pages worth reading, of all samples with pages or text."""
+    return pages.select_pages(_all_pages(spark, sf_dir), ["sample_id"], "page_number", min_words=20)
 
 
 @query()
 def page_selection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why pages were rejected, by document."""
-    return pages.selection_report(pages.select_pages(_pages(spark, sf_dir), ["sample_id"], "page_number"), ["sample_id"])
+    """Why pages were rejected, by document, of all samples with pages or text."""
+    return pages.selection_report(pages.select_pages(_all_pages(spark, sf_dir), ["sample_id"], "page_number"), ["sample_id"])
 
 
 @query(f"""select sample_id, page_number, sum(n + 2) over w - (n + 2) as text_offset, row_number() over w - 1 as page_offset from (select sample_id, page_number, length(coalesce(text, '')) as n from {_PAGES}) window w as (partition by sample_id order by page_number)""")

@@ -157,3 +157,14 @@ def test_summaries(spark):
         summaries.contract_issues(F.col("s"), F.col("t"), ("a", "b"), ("Patient Name:",)).alias("i"), summaries.grounded(F.col("m"), F.col("e")).alias("g"), summaries.grounded(F.col("m"), F.col("n")).alias("h"), summaries.missing_headings(F.col("t"), ("patient name", "Plan")).alias("x")
     ).first()
     assert r.i == ["missing:b", "leak:Patient Name:"] and r.g == ["e", "m"] and r.h == ["m"] and r.x == ["Plan"]
+
+
+def test_pages_of_texts_without_pages(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(1, "x", [(1, "given one"), (2, "given two")]), (2, "one\ftwo\f", None), (3, "alone", []), (4, None, None), (5, "", [])]
+    spark.createDataFrame(rows, "sample_id long, text string, pages array<struct<page_number int, text string>>").write.parquet(f"{tmp_path}/ocr_samples.parquet")
+    got = entry.queries()["selected_pages"](spark, str(tmp_path)).collect()
+    assert sorted((r.sample_id, r.page_number, r.reason) for r in got) == [(1, 1, "too_short"), (1, 2, "too_short"), (2, 1, "too_short"), (2, 2, "too_short"), (2, 3, "empty"), (3, 1, "too_short")]
+    report = entry.queries()["page_selection_report"](spark, str(tmp_path)).collect()
+    assert {r.sample_id: r.source_pages for r in report} == {1: 2, 2: 3, 3: 1}
