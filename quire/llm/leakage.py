@@ -4,8 +4,8 @@ Candidates come from 64-bit SimHash fingerprints of word windows: every window
 of every document is looked up in tables over the windows of all passages.  A
 fingerprint is cut into ``RADIUS + 1`` blocks, one of which must agree exactly
 for fingerprints within ``RADIUS`` bits (pigeonhole), so the lookup finds all of
-them.  Passages with a hit are then compared with the stretch around it by
-weighted shingles and, exactly, by an order-preserving alignment.
+them.  Every passage with a hit is then compared with the stretch around it by an
+order-preserving alignment, which decides; weighted shingles are reported.
 
 Scale: the corpus is read once, in a narrow stage; nothing about documents is
 shuffled, sent to the driver or held between rows.  Passages are a stated query
@@ -157,10 +157,11 @@ def aligned_share(item: list[str], doc: list[str], most_missing: int = MOST_MISS
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", least_share: float = LEAST_SHARE) -> DataFrame:
-    """(item, doc, share) for every document that holds at least ``least_share``
+    """(item, doc, share, shingles) for every document that holds at least ``least_share``
     of a passage's words in order, whatever case, punctuation, spacing and layout.
 
-    share is that of the best stretch.  Repeated rows of one document id count
+    share is that of the best stretch, shingles its weighted share of shingles
+    (see :func:`shingle_share`), which decides nothing.  Repeated rows of one document id count
     once a row; the result has a row per input row and item, so it is distinct
     if ids are.  Null and empty texts and passages have no words and no rows;
     empty tables give an empty result; other columns aren't read.
@@ -171,11 +172,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             T.StructField(item_col, items.schema[item_col].dataType),
             T.StructField(id_col, docs.schema[id_col].dataType),
             T.StructField("share", T.DoubleType()),
+            T.StructField("shingles", T.DoubleType()),
         ]
     )
     out = None
     for block in _blocks(items.select(item_col, passage_col).orderBy(item_col)):
-        part = rows.mapInPandas(_finder(PassageIndex.build(block), least_share, [item_col, id_col, "share"]), schema)
+        part = rows.mapInPandas(_finder(PassageIndex.build(block), least_share, [item_col, id_col, "share", "shingles"]), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -200,7 +202,7 @@ def _finder(index: PassageIndex, least_share: float, names: list[str]):
         for batch in batches:
             out = []
             for lo, hi, texts in _groups(batch.text):
-                out += [(item, batch.doc.iloc[lo + i], share) for i, item, share in _search(index, texts, hashes, longest, least_share)]
+                out += [(item, batch.doc.iloc[lo + i], *shares) for i, item, *shares in _search(index, texts, hashes, longest, least_share)]
             yield pd.DataFrame(out, columns=names)
 
     return find
@@ -218,7 +220,7 @@ def _groups(texts: pd.Series, most_chars: int = 1_000_000) -> Iterator[tuple[int
         yield lo, len(texts), list(texts.iloc[lo:])
 
 
-def _search(index: PassageIndex, texts: list[str], hashes: dict[str, int], longest: int, least_share: float) -> Iterator[tuple[int, int, float]]:
+def _search(index: PassageIndex, texts: list[str], hashes: dict[str, int], longest: int, least_share: float) -> Iterator[tuple[int, int, float, float]]:
     token_lists = [words(t) for t in texts]
     ends = np.cumsum([len(t) for t in token_lists])
     flat = [w for t in token_lists for w in t]
@@ -246,15 +248,16 @@ def _search(index: PassageIndex, texts: list[str], hashes: dict[str, int], longe
     for (d, o), places in hits.items():
         item = index.tokens[o]
         start = int(ends[d - 1]) if d else 0
-        best = 0.0
+        best, where = 0.0, []
         places = sorted(set(places))
         # stretches of the document around hits that may belong together
         lo = places[0]
         for a, b in zip(places, [*places[1:], None]):
             if b is None or b - a > 2 * len(item):
                 stretch = flat[max(start, lo - len(item) - MOST_FOREIGN) : min(int(ends[d]), a + WINDOW + len(item) + MOST_FOREIGN)]
-                if shingle_share(item, stretch, index.weights) >= least_share / 4:
-                    best = max(best, aligned_share(item, stretch))
+                share = aligned_share(item, stretch)
+                if share > best:
+                    best, where = share, stretch
                 lo = b
         if best >= least_share:
-            yield d, index.ids[o], best
+            yield d, index.ids[o], best, shingle_share(item, where, index.weights)

@@ -68,3 +68,16 @@ def test_blocks_of_passages_change_nothing(spark, monkeypatch):
     it = spark.createDataFrame(items, "item_id long, passage string")
     monkeypatch.setattr(m, "BLOCK_WORDS", 60)
     assert {(r.item_id, r.doc_id) for r in m.find_leaks(df, it).collect()} == {(i, i) for i in range(6)}
+
+
+def test_changed_words_around_a_common_window(spark):
+    common = [f"c{i}" for i in range(8)]
+    item = [*common, *(f"a{i}" for i in range(72))]
+    items = [(0, " ".join(item)), *((i, " ".join([*common, *(f"b{i}x{j}" for j in range(40))])) for i in range(1, 30))]
+    part = item[:44]
+    for at in range(10, 44, 4):  # no shingle outlives this, but most words do
+        part[at] = "changed"
+    df = spark.createDataFrame([(7, "before it " + " ".join(part) + " after it")], "doc_id long, text string")
+    got = find_leaks(df, spark.createDataFrame(items, "item_id long, passage string")).collect()
+    assert [(r.item_id, r.doc_id) for r in got] == [(0, 7)]
+    assert got[0].share >= 0.5 and got[0].shingles < 0.125
