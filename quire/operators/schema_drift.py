@@ -5,7 +5,9 @@ once: each field path gets its type and a min-wise value sketch of fixed size,
 built only from records that both files of a pair contain.  Fields that went and
 fields that came are then matched per pair of parents with an optimal bipartite
 assignment over sketch similarity (names only break ties), which gives the
-renames; what stays unmatched was removed or added.
+renames; what stays unmatched was removed or added.  A sketch only proposes a
+rename of fields without fields below: all their values in the shared records
+must agree (count and exclusive or of the distinct key-and-value hashes).
 
 Scale: one pass flattens the records and folds counts and sketches inside each
 Arrow batch; the rest is a hash aggregation over (field, register) with map-side
@@ -29,6 +31,9 @@ from pyspark.sql.window import Window
 from quire.scratch import stage
 
 REGISTERS = 64
+#: Numbers from here on stand for no register: for every value hash itself (towards the next file, towards the previous
+#: one), later for their exclusive or; two further on for how many there are.
+EXACT = 2 * REGISTERS
 #: Least share of equal sketch registers at which two fields may be one renamed field.
 SAME_VALUES = 0.6
 
@@ -80,6 +85,7 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         counts: Counter = Counter()
         mins: dict[tuple[int, int], int] = {}
+        values: set[tuple[int, int, int]] = set()
         for feed, file_no, payload, before, after in zip(batch.feed, batch.file_no, batch.payload, batch.in_previous, batch.in_next):
             record = read_object(payload)
             if record is None:
@@ -98,8 +104,10 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             k = (field, base + h % REGISTERS)
                             if used and h < mins.get(k, 1 << 63):
                                 mins[k] = h
+                            if used:
+                                values.add((field, EXACT + (base > 0), h))
             counts[feed, file_no, "", "object"] += 1
-        rows = [(*k, n, _field_id(*k), None, None) for k, n in counts.items()] + [(None, None, None, None, None, f, r, m) for (f, r), m in mins.items()]
+        rows = [(*k, n, _field_id(*k), None, None) for k, n in counts.items()] + [(None, None, None, None, None, f, r, m) for f, r, m in (*((f, r, m) for (f, r), m in mins.items()), *values)]
         frame = pd.DataFrame(rows, columns=["feed", "file_no", "path", "kind", "n", "of", "reg", "mins"])
         yield frame.astype({"file_no": "Int32", "n": "Int64", "reg": "Int32", "mins": "Int64"})
 
@@ -157,7 +165,7 @@ def assign(score: list[list[float]]) -> list[int]:
 
 
 def compare(old: dict[str, dict], new: dict[str, dict], same: float = SAME_VALUES) -> list[tuple[str, str, str]]:
-    """Changes between two profiles ``path -> {kind, sketch}``: (change_kind, old_path, new_path).
+    """Changes between two profiles ``path -> {kind, sketch, exact}``: (change_kind, old_path, new_path).
 
     Parents are settled before their fields, so that a field of a renamed parent
     is compared with its counterpart and fields below a change aren't reported
@@ -191,6 +199,9 @@ def compare(old: dict[str, dict], new: dict[str, dict], same: float = SAME_VALUE
                 return 0.0
             if not p["sketch"] and not q["sketch"]:  # no record of it in both files: only a respelt name counts
                 return 0.5 if plain_name(x) == plain_name(y) else 0.0
+            leaf = not any(kids.get(path) or kids.get(path + "[]") for kids, path in ((kids_old, ka[x]), (kids_new, kb[y])))  # noqa: B023
+            if leaf and p.get("exact") != q.get("exact"):
+                return 0.0
             s = similarity(p["sketch"], q["sketch"])
             return s + 0.01 * name_likeness(x, y) if s >= same else 0.0
 
@@ -215,7 +226,8 @@ def _compare_group(frame: pd.DataFrame) -> pd.DataFrame:
             # the older file's registers towards the next one, the later file's towards the previous one
             low = side * REGISTERS
             own = regs if regs is not None else ()
-            sides[side][path] = {"kind": kind, "n": n, "sketch": {r["reg"] - low: r["mins"] for r in own if low <= r["reg"] < low + REGISTERS}}
+            exact = tuple(next((r["mins"] for r in own if r["reg"] == EXACT + side + more), None) for more in (0, 2))
+            sides[side][path] = {"kind": kind, "n": n, "sketch": {r["reg"] - low: r["mins"] for r in own if low <= r["reg"] < low + REGISTERS}, "exact": exact}
     if not sides[0] or not sides[1]:
         return pd.DataFrame(columns=["feed", "file_no", "change_kind", "old_path", "new_path"])
     for s in sides:
@@ -231,7 +243,8 @@ def _record_key():
 def profile_files(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What files hold: fields (feed, file_no, path, kind, of, n records) and
     register minima (of, reg, mins), registers towards the next file before
-    those towards the previous one; both from one pass, staged."""
+    those towards the previous one, and after them the value hashes (from
+    :data:`EXACT` on); both from one pass, staged."""
     lines = lines.select("feed", F.col("file_no").cast("int"), "payload").filter("feed is not null and file_no is not null and payload is not null")
     keys = lines.select("feed", "file_no", _record_key().alias("record_key")).filter("record_key is not null").distinct()
     files = keys.select("feed", "file_no").distinct()
@@ -279,7 +292,10 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     both = Window.partitionBy("feed", "pair_file_no", "path")
     sided = stage(sided.withColumn("alone", F.min("pair_side").over(both) == F.max("pair_side").over(both)), "fields")
     wanted = minima.join(sided.filter("alone").select("of").distinct(), "of", "left_semi")
-    sketches = wanted.groupBy("of", "reg").agg(F.min("mins").alias("mins")).groupBy("of").agg(F.collect_list(F.struct("reg", "mins")).alias("regs"))
+    least = wanted.filter(F.col("reg") < EXACT).groupBy("of", "reg").agg(F.min("mins").alias("mins"))
+    sums = wanted.filter(F.col("reg") >= EXACT).distinct().groupBy("of", "reg").agg(F.bit_xor("mins").alias("x"), F.count(F.lit(1)).alias("n"))
+    sums = sums.select("of", F.inline(F.array(F.struct("reg", F.col("x").alias("mins")), F.struct((F.col("reg") + 2).alias("reg"), F.col("n").alias("mins")))))
+    sketches = least.unionByName(sums).groupBy("of").agg(F.collect_list(F.struct("reg", "mins")).alias("regs"))
     compared = sided.filter("alone").join(sketches, "of", "left")
     plain = sided.filter("not alone").withColumn("regs", F.lit(None).cast("array<struct<reg:int,mins:bigint>>"))
     cols = ["feed", "pair_file_no", "pair_side", "path", "kind", "n", "regs"]

@@ -95,3 +95,10 @@ def test_names_break_ties():
 def test_hot_file_is_spread(spark):
     df = spark.range(20_000).selectExpr("id as line_id", "'f' as feed", "cast(if(id < 15000, 1, 2) as int) as file_no", "concat('{\"record_key\": \"', id % 15000, '\", \"', if(id < 15000, 'v', 'value'), '\": ', id % 15000, '}') as payload")
     assert changes(df) == {("f", 2, "renamed", "v", "value")}
+
+
+def test_like_flags_are_no_rename(spark):
+    keys = [f"k{i}" for i in range(60)]
+    one = [record(k, smoker=True, code="a" if i % 2 else "b", kept=i) for i, k in enumerate(keys)]
+    two = [record(k, insured=i >= 3, label="a" if i % 2 else "b", kept=i) for i, k in enumerate(keys)]
+    assert changes(lines(spark, [("f", 1, one), ("f", 2, [*two, *two[:5]])])) == {("f", 2, "removed", "smoker", ""), ("f", 2, "added", "", "insured"), ("f", 2, "renamed", "code", "label")}
