@@ -6,6 +6,7 @@ of any length are read whole.  Lines end at any of the usual line separators.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from quire.functions import lexicons as L
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+WORD = r"[a-z0-9']+"
 SPACE = "[\\s ]"
 
 
@@ -35,9 +37,34 @@ def lines(c: str | Column) -> Column:
     return F.split(_col(c), LINE_END)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def any_of(phrases: tuple[str, ...]) -> str:
+    """A pattern of the phrases that shares their beginnings, so that few branches are tried at each place."""
+    tree: dict = {}
+    for p in phrases:
+        at = tree
+        for ch in p:
+            at = at.setdefault(ch, {})
+        at[""] = {}
+
+    def pattern(node: dict) -> str:
+        branches = [_quote(ch) + pattern(below) for ch, below in sorted(node.items()) if ch]
+        if not branches:
+            return ""
+        if "" in node:
+            return ""  # a shorter phrase ends here and is enough
+        return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+
+    return pattern(tree)
+
+
 def contains_any(c: str | Column, phrases: tuple[str, ...]) -> Column:
-    """Whether one of the phrases occurs (one alternation, compiled once)."""
-    return _col(c).rlike("|".join(_quote(p) for p in phrases))
+    """Whether one of the phrases occurs (one pattern, compiled once)."""
+    return _col(c).rlike(any_of(phrases))
 
 
 def _quote(phrase: str) -> str:
@@ -45,8 +72,15 @@ def _quote(phrase: str) -> str:
 
 
 def occurrences(c: str | Column, phrases: tuple[str, ...]) -> Column:
-    """How often the phrases occur, each counted for itself without overlaps."""
+    """How often the phrases occur, each counted for itself without overlaps.
+
+    Where no phrase begins another or overlaps itself, one pass looks for the
+    places at which any of them starts.
+    """
     c = _col(c)
+    begins = any(a != b and b.startswith(a) for a in phrases for b in phrases)
+    if not begins and not any(p.endswith(p[:n]) for p in phrases for n in range(1, len(p))):
+        return F.regexp_count(c, F.lit(f"(?={any_of(phrases)})"))
     return reduce(lambda a, b: a + b, [((F.length(c) - F.length(F.replace(c, F.lit(p), F.lit("")))) / len(p)).cast("int") for p in phrases])
 
 
@@ -223,7 +257,7 @@ def sentences(c: str | Column) -> Column:
 
 
 def word_tokens(c: str | Column) -> Column:
-    return F.regexp_extract_all(F.lower(_col(c)), F.lit(r"[a-z0-9']+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(_col(c)), F.lit(WORD), F.lit(0))
 
 
 def content_tokens(c: str | Column) -> Column:

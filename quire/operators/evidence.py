@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from quire.functions import text as X
 from quire.operators.ranking import snippet_score
+from quire.scratch import stage
 
 
 def statements(sections: DataFrame, doc: list[str], per_section: int = 3, kinds: tuple[str, ...] = ("mcc", "clinical")) -> DataFrame:
@@ -123,13 +124,13 @@ def claims(statements_df: DataFrame, sources: DataFrame, doc: list[str], most: i
     before others whatever their scores.  Statements meet only the sources of
     their own document (an equi-join on ``doc``), and only those that can still
     get a number: about ``most`` a document, so pairs grow with the sources.  The
-    best source is kept by an aggregation that combines before the shuffle.
+    best source of each distinct statement is found by the words they share
+    (:func:`best_sources`); only its snippet is cut out.
 
     ``by`` names columns of the statements that the sources have instead of
-    ``doc``, where many documents share their sources; each distinct statement
-    is then matched once (:func:`best_sources`).
+    ``doc``, where many documents share their sources.
     """
-    shared, by = by is not None, by or doc
+    by = by or doc
     keys = [*doc, *(c for c in by if c not in doc)]
     usable = sources.filter(F.col("text").isNotNull() & (F.col("text") != "")).select(*by, "source_no", "page", F.col("text").alias("_source"))
     # a statement shares a word with some source or is too short to tell; the first ``most`` that do settle which can have a number
@@ -144,13 +145,13 @@ def claims(statements_df: DataFrame, sources: DataFrame, doc: list[str], most: i
     )
     before = Window.partitionBy(*doc).orderBy("ordinal", "slug", "statement_no", "statement").rowsBetween(Window.unboundedPreceding, -1)
     marked = marked.filter(F.col("_sure") | (F.size(own) <= 2)).withColumn("_n", F.coalesce(F.sum(F.col("_sure").cast("int")).over(before), F.lit(0)))
-    marked = marked.filter(F.col("_n") < most)
+    marked = stage(marked.filter(F.col("_n") < most).drop("_n", "_sure"), "statements")  # read three times below
     scored = snippet_score(F.col("statement"), F.col("_source"))
-    if shared:  # each has a match, which is scored before the documents meet it
-        chosen = best_sources(marked.select(*by, "statement").distinct(), usable, by, prefer_exact)
-        pairs = marked.join(chosen.join(usable, [*by, "source_no"]).withColumn("_m", scored), [*by, "statement"])
-    else:
-        pairs = marked.join(usable, doc).withColumn("_m", scored).filter("_m is not null and _m.snippet <> ''")
+    chosen = best_sources(marked.select(*by, "statement").distinct(), usable, by, prefer_exact)
+    # exploded, so that no filter computes it again
+    usable_match = F.filter(F.array(scored), lambda m: m.isNotNull() & (m.snippet != ""))
+    matched = chosen.join(usable, [*by, "source_no"]).select("*", F.explode(usable_match).alias("_m"))
+    pairs = marked.join(matched, [*by, "statement"])
     exact = F.position(F.lower(X.strip("statement")), F.lower(F.col("_source"))) > 0
     order = F.struct((~exact if prefer_exact else F.lit(False)).alias("inexact"), (-F.col("_m.score")).alias("neg"), "source_no")
     best = pairs.groupBy(*doc, "ordinal", "slug", "title", "statement_no", "statement").agg(F.min(F.struct(order.alias("o"), F.col("page").alias("page"), F.col("_m.snippet").alias("snippet"))).alias("b"))

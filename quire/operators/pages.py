@@ -13,6 +13,10 @@ from quire.functions import lexicons as L
 from quire.functions import text as X
 
 
+#: What names a page of a visit (fixed values).
+VISIT_PAGES = ("established patient visit", "new patient visit")
+
+
 def native_metrics(pages: DataFrame, doc: list[str], text: str = "text", extractor_available: bool = True) -> DataFrame:
     """Per document: page_count, non_empty_pages, their ratio, total_chars, avg_chars_per_page,
     short_page_ratio (under 80 characters), alpha_ratio, and route and requires_ocr decided from them.
@@ -57,30 +61,45 @@ def routing_metrics(df: DataFrame, keep: list[str], text: str = "text", page_cou
     t = F.coalesce(F.col(text), F.lit(""))
     pages = F.lit(0) if page_count is None else (F.col(page_count) if isinstance(page_count, str) else page_count)
     full = F.filter(F.transform(X.lines(t), X.strip), lambda x: x != "")
-    split = F.flatten(F.transform(full, X.sentences))
-    rows = df.select(*keep, t.alias("_t"), F.coalesce(pages, F.lit(0)).cast("int").alias("page_count"), F.when(F.size(full) <= 4, split).otherwise(full).alias("_l"))
-    words = lambda x: F.size(F.split(x, r"\s+"))
-    noisy = lambda x: X.has_legal_phrase(x) | x.rlike(L.CONSENT_LINE) | x.rlike(L.REASON_ONLY_LINE) | X.is_vitals_table(x)
-    n = F.size("_l")
-    least = F.greatest(n, F.lit(1))
-    joined = F.array_join("_l", " ")
+    judged = X.let(full, lambda f: F.when(F.size(f) <= 4, F.flatten(F.transform(f, X.sentences))).otherwise(f))
+    rows = df.select(*keep, t.alias("_t"), F.coalesce(pages, F.lit(0)).cast("int").alias("page_count"), judged.alias("_l"))
+    # of each line once: whether it is noise, and its words (lines are stripped and not empty)
+    noisy = lambda x: x.rlike(L.CONSENT_LINE) | x.rlike(L.REASON_ONLY_LINE) | X.is_vitals_table(x) | X.has_legal_phrase(x)
+    seen = F.transform("_l", lambda x: F.struct(noisy(x).alias("noise"), (F.regexp_count(x, F.lit(r"\s+")) + 1).alias("words")))
+    sums = F.aggregate(
+        seen,
+        F.struct(F.lit(0).alias("noise"), F.lit(0).alias("short"), F.lit(0).alias("words")),
+        lambda a, x: F.struct((a.noise + x.noise.cast("int")).alias("noise"), (a.short + (x.words <= 2).cast("int")).alias("short"), (a.words + x.words).alias("words")),
+    )
     low = F.lower("_t")
-    markers = F.regexp_count("_t", F.lit(L.REPEATED_MARKERS))
+    joined = F.array_join("_l", " ")
     rows = rows.select(
         *keep,
         "page_count",
         X.tokens_words("_t").alias("estimated_tokens"),
-        n.alias("line_count"),
-        F.size(F.filter("_l", noisy)).alias("noise_line_count"),
-        F.round(F.size(F.filter("_l", noisy)) / least, 3).alias("noise_ratio"),
-        F.round(F.size(F.filter("_l", lambda x: words(x) <= 2)) / least, 3).alias("short_line_ratio"),
-        F.round(X.letters(joined) / F.greatest(X.non_space(joined), F.lit(1)), 3).alias("alpha_ratio"),
-        F.round(F.aggregate("_l", F.lit(0), lambda a, x: a + words(x)) / least, 2).alias("average_words_per_line"),
-        markers.alias("repeated_metadata_markers"),
+        F.size("_l").alias("line_count"),
+        sums.alias("_s"),
+        F.round(X.let(joined, lambda j: X.letters(j) / F.greatest(X.non_space(j), F.lit(1))), 3).alias("alpha_ratio"),
+        F.regexp_count("_t", F.lit(L.REPEATED_MARKERS)).alias("repeated_metadata_markers"),
+        X.occurrences(low, ("reason for visit:",)).alias("_visits"),
+        X.occurrences(low, ("patient name:",)).alias("_names"),
+    )
+    least = F.greatest("line_count", F.lit(1))
+    rows = rows.select(
+        *keep,
+        "page_count",
+        "estimated_tokens",
+        "line_count",
+        F.col("_s.noise").alias("noise_line_count"),
+        F.round(F.col("_s.noise") / least, 3).alias("noise_ratio"),
+        F.round(F.col("_s.short") / least, 3).alias("short_line_ratio"),
+        "alpha_ratio",
+        F.round(F.col("_s.words") / least, 2).alias("average_words_per_line"),
+        "repeated_metadata_markers",
         (
-            ((markers >= 6) & (F.col("page_count") >= 3)).cast("int")
-            + (X.occurrences(low, ("reason for visit:",)) >= F.greatest(F.lit(3), F.col("page_count") + 1)).cast("int")
-            + (X.occurrences(low, ("patient name:",)) >= F.greatest(F.lit(2), F.col("page_count"))).cast("int")
+            ((F.col("repeated_metadata_markers") >= 6) & (F.col("page_count") >= 3)).cast("int")
+            + (F.col("_visits") >= F.greatest(F.lit(3), F.col("page_count") + 1)).cast("int")
+            + (F.col("_names") >= F.greatest(F.lit(2), F.col("page_count"))).cast("int")
         ).alias("mixed_packet_signals"),
     )
     ok = (F.col("line_count") > 0) & (F.col("noise_ratio") <= max_noise) & (F.col("short_line_ratio") <= max_short) & (F.col("alpha_ratio") >= 0.55) & (F.col("mixed_packet_signals") == 0)
@@ -103,28 +122,41 @@ def summary_route(requested: str = "auto", token_threshold: int = 120_000, max_p
 
 def page_reason(text: str | Column, min_words: int = 40) -> Column:
     """Why a page isn't worth reading, null if it is: the first rule that holds, duplicates apart."""
-    t = F.coalesce(X._col(text), F.lit(""))
-    low = F.lower(t)
-    clinical, admin = X.occurrences(low, L.PAGE_CLINICAL), X.occurrences(low, L.PAGE_ADMIN)
-    headers, metadata = X.phrases_present(low, L.PAGE_HEADER_NOISE), X.occurrences(low, L.PAGE_METADATA)
-    visit = is_visit_page(t)
-    space = F.greatest(X.non_space(t), F.lit(1))
-    pair = reduce(lambda a, b: a | b, [low.contains(p) & low.contains(q) for p, q in L.PAGE_ADMIN_PAIRS])
-    return (
-        F.when(t == "", "empty")
-        .when(F.size(X.word_tokens(t)) < min_words, "too_short")
-        .when(X.contains_any(low, L.PAGE_HARD_REJECT), "hard_reject")
-        .when(pair, "workflow_admin")
-        .when(admin >= clinical + 2, "admin_dominant")
-        .when((metadata >= 4) & (clinical < 4), "metadata_dominant")
-        .when(~visit & (headers >= 2) & (clinical < 8), "header_noise")
-        .when(~visit & (X.digits(t) / space >= 0.14) & (X.letters(t) / space <= 0.78) & (clinical < 12), "numeric_noise")
-        .when(~(visit | (clinical >= 3) | (low.contains("medication") & (admin == 0))), "low_signal")
-    )
+    given = F.coalesce(X._col(text), F.lit(""))
+    both = F.struct(given.alias("t"), F.lower(given).alias("low"))
+
+    def rules(p: Column) -> Column:
+        t, low = p["t"], p["low"]
+        pair = reduce(lambda a, b: a | b, [low.contains(x) & low.contains(y) for x, y in L.PAGE_ADMIN_PAIRS])
+        counts = F.struct(
+            X.occurrences(low, L.PAGE_CLINICAL).alias("clinical"),
+            X.occurrences(low, L.PAGE_ADMIN).alias("admin"),
+            X.occurrences(low, L.PAGE_METADATA).alias("metadata"),
+            X.contains_any(low, VISIT_PAGES).alias("visit"),
+        )
+        return (
+            F.when(t == "", "empty")
+            .when(F.regexp_count(low, F.lit(X.WORD)) < min_words, "too_short")
+            .when(X.contains_any(low, L.PAGE_HARD_REJECT), "hard_reject")
+            .when(pair, "workflow_admin")
+            .otherwise(X.let(counts, lambda c: by_counts(t, low, c)))
+        )
+
+    def by_counts(t: Column, low: Column, c: Column) -> Column:
+        numeric = X.let(F.greatest(X.non_space(t), F.lit(1)), lambda n: (X.digits(t) / n >= 0.14) & (X.letters(t) / n <= 0.78))
+        return (
+            F.when(c.admin >= c.clinical + 2, "admin_dominant")
+            .when((c.metadata >= 4) & (c.clinical < 4), "metadata_dominant")
+            .when(~c.visit & (c.clinical < 8) & (X.phrases_present(low, L.PAGE_HEADER_NOISE) >= 2), "header_noise")
+            .when(~c.visit & (c.clinical < 12) & numeric, "numeric_noise")
+            .when(~(c.visit | (c.clinical >= 3) | (low.contains("medication") & (c.admin == 0))), "low_signal")
+        )
+
+    return X.let(both, rules)
 
 
 def is_visit_page(text: str | Column) -> Column:
-    return X.contains_any(F.lower(X._col(text)), ("established patient visit", "new patient visit"))
+    return X.contains_any(F.lower(X._col(text)), VISIT_PAGES)
 
 
 def greedy_duplicates(signatures: list[list[str] | None], visits: list[bool], limit: float = 0.78, visit_limit: float = 0.60) -> list[bool]:

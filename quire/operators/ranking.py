@@ -19,13 +19,14 @@ def ranked_lines(df: DataFrame, doc: list[str], text: str, limit: int, keywords:
     earlier line.  Equal keys are collapsed by an aggregation before any line is
     ranked, so what is ranked in one task is one document's distinct lines.
     """
-    at = df.select(*doc, F.posexplode(X.lines(F.col(text))).alias("pos", "raw")).select(*doc, "pos", X.strip("raw").alias("line"))
+    # stripped before the explode: a filter would repeat what a projection after it computes
+    at = df.select(*doc, F.posexplode(F.transform(X.lines(F.col(text)), X.strip)).alias("pos", "line"))
     low = F.lower("line")
-    at = at.withColumn("key", X.line_key("line")).filter("key != ''")
-    at = at.filter(~X.is_noise_line("line", allow_numeric) & ~X.contains_any(low, L.UNWANTED_TOKENS) & ~(low.contains("call") & low.contains("immediately")))
-    for needed in (required, keywords):
+    for needed in (required, keywords):  # cheap and selective, so first
         if needed:
             at = at.filter(X.contains_any(low, tuple(k.lower() for k in needed)))
+    at = at.filter(~X.contains_any(low, L.UNWANTED_TOKENS) & ~(low.contains("call") & low.contains("immediately")) & ~X.is_noise_line("line", allow_numeric))
+    at = at.withColumn("key", X.line_key("line")).filter("key != ''")
     scored = at.withColumn("score", F.round(X.line_score("line", tuple(k.lower() for k in keywords)), 6))
     best = scored.groupBy(*doc, "key").agg(F.min(F.struct((-F.col("score")).alias("n"), "pos", "line")).alias("b"))
     w = Window.partitionBy(*doc).orderBy("b.n", "b.pos")
@@ -89,19 +90,25 @@ def snippet_score(statement: Column, source: Column) -> Column:
     that the source has (0.95 at most), with 40 characters before and 160 after
     the first word that occurs in it.
     """
-    st = X.strip(statement)
-    low_st, low = F.lower(st), F.lower(source)
-    at = F.position(low_st, low)
-    start = F.greatest(F.lit(0), at - 1 - 32)
-    end = F.least(F.length(source), at - 1 + F.length(st) + 32)
-    verbatim = F.struct(F.least(F.lit(0.99), F.length(st) / F.greatest(F.length(source), F.lit(1))).alias("score"), X.strip(F.substring(source, start + 1, end - start)).alias("snippet"))
-    mine, theirs = X.word_tokens(st), X.word_tokens(source)
-    hits = F.filter(mine, lambda t: F.array_contains(theirs, t))
-    ratio = F.size(hits) / F.greatest(F.size(mine), F.lit(1))
-    first = F.get(F.filter(mine, lambda t: F.position(t, low) > 0), F.lit(0))
-    p = F.position(first, low) - 1
-    s = F.greatest(F.lit(0), p - 40)
-    e = F.least(F.length(source), p + 160)
-    shared = F.struct(F.least(F.lit(0.95), ratio).alias("score"), X.strip(F.substring(source, s + 1, e - s)).alias("snippet"))
-    usable = (st != "") & (source != "")
-    return F.when(usable & (at > 0), verbatim).when(usable & (F.size(hits) > 0), shared)
+
+    def cut(source: Column, lo: Column, hi: Column) -> Column:
+        start, end = F.greatest(F.lit(0), lo), F.least(F.length(source), hi)
+        return X.strip(F.substring(source, start + 1, end - start))
+
+    def found(score: Column, snippet: Column) -> Column:
+        return F.struct(score.alias("score"), snippet.alias("snippet"))
+
+    def verbatim(p: Column) -> Column:
+        size = F.length(p["st"])
+        return found(F.least(F.lit(0.99), size / F.greatest(F.length(p["source"]), F.lit(1))), cut(p["source"], p["at"] - 33, p["at"] - 1 + size + 32))
+
+    def shared(p: Column) -> Column:
+        tokens = F.struct(X.word_tokens(p["st"]).alias("mine"), X.word_tokens(p["source"]).alias("theirs"))
+        hits = X.let(tokens, lambda t: F.struct(F.size(t.mine).alias("n"), F.filter(t.mine, lambda x: F.array_contains(t.theirs, x)).alias("hits"), F.filter(t.mine, lambda x: F.contains(p["low"], x)).alias("inside")))
+        first = lambda h: F.position(F.get(h.inside, F.lit(0)), p["low"]) - 1
+        score = lambda h: F.least(F.lit(0.95), F.size(h.hits) / F.greatest(h.n, F.lit(1)))
+        return X.let(hits, lambda h: F.when(F.size(h.hits) > 0, X.let(first(h), lambda at: found(score(h), cut(p["source"], at - 40, at + 160)))))
+
+    st, low = X.strip(statement), F.lower(source)
+    both = X.let(F.struct(st.alias("st"), F.lower(st).alias("low_st"), source.alias("source"), low.alias("low")), lambda p: F.struct(p["st"].alias("st"), p["source"].alias("source"), p["low"].alias("low"), F.position(p["low_st"], p["low"]).alias("at")))
+    return X.let(both, lambda p: F.when((p["st"] != "") & (p["source"] != ""), F.when(p["at"] > 0, verbatim(p)).otherwise(shared(p))))

@@ -74,6 +74,10 @@ _LEGAL = lambda e: _any(f"lower({e})", L.LEGAL_PHRASES)
 _MASK = lambda e: _chain(e, tuple((p, L.MASK) for p in L.MASK_PATTERNS))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scratch.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 # --- masking ------------------------------------------------------------------
 
 
@@ -81,7 +85,7 @@ _MASK = lambda e: _chain(e, tuple((p, L.MASK) for p in L.MASK_PATTERNS))  # noqa
            case when length(text) = 0 then 0 else greatest(1, length(text) // 4) end as tokens from documents""")
 def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with identifiers masked, their sentences and token estimate."""
-    d = table(spark, sf_dir, "documents")
+    d = _documents(spark, sf_dir)
     return d.select("doc_id", R.mask_text("text").alias("masked"), F.size(X.sentences("text")).alias("sentences"), X.tokens_floor("text").alias("tokens"))
 
 
@@ -128,7 +132,7 @@ _PARAGRAPHS = lambda e: (
 @query(f"select doc_id, {_PARAGRAPHS('text')} as paragraphs, trim({_replace(_replace('text', _CTRL, ' '), _S + '+', ' ')}) as one_line from documents")
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with white space in order, paragraphs kept and not."""
-    d = table(spark, sf_dir, "documents")
+    d = _documents(spark, sf_dir)
     return d.select("doc_id", X.clean_paragraphs("text").alias("paragraphs"), X.clean_text("text").alias("one_line"))
 
 
@@ -163,7 +167,7 @@ def prune_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select doc_id, array_to_string(list_filter(list_transform({_lines('text')}, lambda x: {_strip('x')}), lambda x: not regexp_matches(x, {q(L.HEADING_ONLY)})), chr(10)) as body, len(list_filter({_lines('text')}, lambda x: regexp_matches(x, {q(L.HEADING_ONLY)}))) as headings from documents")
 def strip_document_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without lines that are headings only."""
-    d = table(spark, sf_dir, "documents")
+    d = _documents(spark, sf_dir)
     return d.select("doc_id", X.strip_headings("text").alias("body"), X.heading_count("text").alias("headings"))
 
 
@@ -189,14 +193,14 @@ _VITAL_PARTS = ", ".join(
            select doc_id, case when len(p) > 0 then 'Vitals: ' || array_to_string(p, ', ') end as vitals, array_to_string(d, '; ') as complaints from v""")
 def vitals_and_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sentence of vital signs and the complaints each document mentions."""
-    d = table(spark, sf_dir, "documents")
+    d = _documents(spark, sf_dir)
     return d.select("doc_id", X.vitals_sentence("text").alias("vitals"), F.array_join(X.complaint_labels("text"), "; ").alias("complaints"))
 
 
 @query()
 def extracted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the deterministic extractor finds in each document."""
-    d = table(spark, sf_dir, "documents")
+    d = _documents(spark, sf_dir)
     return d.select("doc_id", summaries.extract_facts("text").alias("f")).select("doc_id", "f.*")
 
 
@@ -206,7 +210,7 @@ def extracted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def packed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into chunks of sentences."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.array("text").alias("pages"))
+    d = _documents(spark, sf_dir).select("doc_id", F.array("text").alias("pages"))
     return chunks.pack_pages(d, "pages", ["doc_id"], max_tokens=200, min_tokens=100)
 
 
@@ -264,7 +268,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of every sample: those given, else those of its text, which form feeds part; without text there are none."""
-    d = table(spark, sf_dir, "ocr_samples")
+    d = scratch.spread(table(spark, sf_dir, "ocr_samples").select("sample_id", "text", "pages"), "sample_id")
     split = F.transform(F.split("text", "\f"), lambda t, i: F.struct((i + 1).cast("int").alias("page_number"), t.alias("text")))
     given = F.transform("pages", lambda p: F.struct(p.page_number.alias("page_number"), p.text.alias("text")))
     own = F.when(F.size("pages") > 0, given).when(F.col("text") != "", split)
@@ -296,7 +300,7 @@ def native_text_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
            select *, case when estimated_tokens > 120000 or mixed_packet_signals > 0 or not quality_ok then 'chunked' else 'one_shot' end as strategy from e""")
 def document_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of each document and how it would be summarised."""
-    m = pages.routing_metrics(table(spark, sf_dir, "documents").filter("text is not null"), ["doc_id"])
+    m = pages.routing_metrics(_documents(spark, sf_dir).filter("text is not null"), ["doc_id"])
     return m.withColumn("strategy", pages.summary_route()["strategy"])
 
 
@@ -356,7 +360,7 @@ _NOISY = f"""({_count('s', ('=',))} >= 5 or length(s) > 340 or {_LEGAL('s')} or
            select doc_id, pos, s as line, score from h where rn <= 5""")
 def best_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best distinct lines of each document."""
-    return ranking.ranked_lines(table(spark, sf_dir, "documents").filter("text is not null"), ["doc_id"], "text", 5, _KEYWORDS)
+    return ranking.ranked_lines(_documents(spark, sf_dir).filter("text is not null"), ["doc_id"], "text", 5, _KEYWORDS)
 
 
 _STOP = "[" + ", ".join(q(w) for w in L.STOPWORDS) + "]"
@@ -370,12 +374,12 @@ _CONTENT = lambda e: f"list_filter({_tokens(e)}, lambda t: not list_contains({_S
            select doc_id, rank::int as rank, phrase, n from (select *, row_number() over (partition by doc_id order by n desc, kind, pos) as rank from c) where rank <= 10""")
 def document_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most frequent phrases of each document."""
-    return ranking.top_phrases(table(spark, sf_dir, "documents"), ["doc_id"], "text", 10)
+    return ranking.top_phrases(_documents(spark, sf_dir), ["doc_id"], "text", 10)
 
 
 def _job_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per job its chunk texts and its chunk summaries, each joined in order."""
-    chunk = summaries.merge_parts(table(spark, sf_dir, "ocr_chunks"), "job_id", ["delivery_id"], "text").select("job_id", F.col("merged").alias("source"))
+    chunk = summaries.merge_parts(table(spark, sf_dir, "ocr_chunks").select("job_id", "delivery_id", "text"), "job_id", ["delivery_id"], "text").select("job_id", F.col("merged").alias("source"))
     parts = summaries.merge_parts(table(spark, sf_dir, "summary_results"), "job_id", ["result_id"], "summary_text").select("job_id", F.col("merged").alias("summary"))
     return chunk.join(parts, "job_id")
 
@@ -521,7 +525,7 @@ def length_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def structured_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents summarised at once or in windows, as their figures ask for."""
-    return pipeline.routed(table(spark, sf_dir, "documents").filter("text is not null"), "doc_id", "text")
+    return pipeline.routed(_documents(spark, sf_dir).filter("text is not null"), "doc_id", "text")
 
 
 @query()
