@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quire.llm.truncation import FEATURES, _slot, examples, features, fit, score_truncation, truncation_rates
+from quire.llm.truncation import FEATURES, _slot, examples, examples_of, features, fit, score_truncation, truncation_rates
 
 PARTS = ["The patient reports pain in the {} for {} weeks.", "Blood pressure was {} over {} today.", "The {} will be repeated in {} days unless it settles earlier.", "Follow-up in {} weeks to review the {} and daily exercise.", "The wound on the {} measures {} mm and the edges are clean."]
 CLOSERS = ["", "", "", "\n\nEnd of note", "\n\nRef. 1234-56", "\n\n- rest\n- daily exercise", "\n\nElectronically signed\nJane Doe, MD"]
@@ -16,7 +16,7 @@ def note(rng):
 @pytest.fixture(scope="module")
 def weights():
     rng = random.Random(1)
-    return fit([note(rng) for _ in range(800)])
+    return fit(*examples([note(rng) for _ in range(800)]))
 
 
 def test_held_out_cuts(weights):
@@ -26,6 +26,15 @@ def test_held_out_cuts(weights):
     assert sum(right) / len(right) > 0.95
 
 
+def test_length_at_a_limit_says_something():
+    rng = random.Random(4)
+    made = [examples_of(note(rng) + " " + note(rng), rng, [(300, 64.0), (200, 20.0)]) for _ in range(400)]
+    w = fit([x for xs, _ in made for x in xs], [y for _, ys in made for y in ys])
+    tail = "The patient reports pain in the left knee for 5 weeks"
+    assert w[features(tail, False, 64.0)].sum() > w[features(tail, False)].sum() + 1
+    assert w[features(tail + ".", False, 64.0)].sum() < 0
+
+
 def test_marks_and_ends(weights):
     score = lambda t: float(weights[features(t, True)].sum())
     assert score("The patient reports pain in the left kn") > 0 > score("Blood pressure was 12 over 80 today")
@@ -51,4 +60,4 @@ def test_operator(spark):
 
 
 def test_untrained_model():
-    assert fit([])[_slot("mark")] > 0 and len(fit([])) == FEATURES
+    assert fit([], [])[_slot("mark")] > 0 and len(fit([], [])) == FEATURES
