@@ -3,12 +3,17 @@
 Positive-unlabelled naive Bayes: a small set of trusted residue (placeholders in
 the usual notations, filler, error pages, notices that scripts are required) is
 the only labelled class; passages of the corpus are unlabelled, and
-expectation-maximization settles how much of them is residue too.  A passage's
-score is that of its best run of tokens, so residue inside a longer passage
-counts, and a value is residue if one of its passages is.
-
-Scale: the model is fitted on a bounded sample of passages and is a table of
-hashed log-odds of fixed size; scoring is one narrow stage over all rows.
+expectation-maximization settles how much of them is residue too: the share of
+residue (the class prior) and the features' odds are estimated in turn with the
+passages' posteriors.  A passage's score is that of its best run of tokens, so
+residue inside a longer passage counts, and a value is residue if one of its
+passages is.
+
+Scale: every passage of every value takes part.  One narrow pass counts equal
+passages inside its task and writes their feature slots; a round of the
+expectation-maximization reads these integers, works on whole batches at once
+and passes on sums by slot, of which there are ``FEATURES`` at most.  The model
+is a table of that size; scoring is one narrow stage over all rows.
 """
 
 from __future__ import annotations
@@ -17,7 +22,8 @@ import itertools
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,14 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Values sampled for the unlabelled class, at most, and the characters read of each.
-SAMPLE_VALUES = 12_000
-SAMPLE_CHARS = 8_000
+from quire.scratch import stage
+
 FEATURES = 1 << 18
-#: Score (log-odds of the best run) from which on a passage is residue.
-THRESHOLD = 5.0
-#: What a passage must score beyond it to be taken for residue in training (half of it at that score).
-TRAINING_MARGIN = 2.0
+#: Rounds of the expectation-maximization, and the share of residue it starts from.
+ROUNDS, PRIOR = 5, 0.01
+#: Pseudo-observations that draw a feature's odds to those of the classes, so that features nobody has seen say nothing.
+PULL = 4.0
+#: Different passages that a task holds before it passes their counts on.
+HELD_PASSAGES = 100_000
+#: Log-odds from which on a passage is residue.
+THRESHOLD = 0.0
 #: Log-odds that one token, or one placeholder, can add at most.
 MOST_TOKEN, MOST_PLACEHOLDER = 4.0, 8.0
 
@@ -53,6 +62,7 @@ NOTATIONS = {
     "square": re.compile(r"\[\s*([^\[\]\n]{1,60}?)\s*\]"),
     "brace": re.compile(r"\{\s*([^{}\n]{1,60}?)\s*\}"),
 }
+_MARK = re.compile(r"[{}\[\]<>$%@_#]")
 _ANY = re.compile("|".join(f"(?P<n{i}>{p.pattern})" for i, p in enumerate(NOTATIONS.values())), re.I)
 _NAMES = list(NOTATIONS)
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
@@ -74,21 +84,21 @@ FILLER = (
     "Your text here", "Your text goes here.", "Enter text here", "Insert text here", "Text goes here", "Heading goes here", "Title goes here",
     "Placeholder text", "This is placeholder text.", "Sample text", "This is a sample paragraph, replace before release.", "Dummy text", "Dummy content",
     "Content coming soon", "Coming soon", "To be supplied by the author.", "Text to be supplied", "TODO: write this", "TODO", "FIXME: add content", "TBD", "Write this section",
-    "Replace this text with your own.", "Replace it with the summary.", "Remove before release.", "Used to fill the layout.", "blah blah blah", "foo bar baz", "asdf asdf qwer", "qwerty asdf", "xxxxx xxxx xxx", "test test test",
+    "Replace this text with your own.", "Remove before release.", "Used to fill the layout.", "blah blah blah", "foo bar baz", "asdf asdf qwer", "qwerty asdf", "xxxxx xxxx xxx", "test test test",
 )
 ERRORS = (
     "404 Not Found", "403 Forbidden", "500 Internal Server Error", "502 Bad Gateway", "503 Service Unavailable", "504 Gateway Timeout", "401 Unauthorized",
     "Error 404: the requested page was not found.", "The requested page could not be loaded.", "The page you requested does not exist.", "The page has been moved or deleted.",
-    "The page you are looking for does not exist or has been moved.", "This page isn't working", "This site can't be reached.", "This site cannot be reached right now", "HTTP 500 returned by server", "HTTP error 502 returned by upstream", "Upstream connect error",
-    "upstream request timeout", "connection reset before headers", "Error while fetching the page", "An error occurred while processing your request.", "An unexpected error occurred.", "An unexpected error has occurred. Please try again later.",
-    "Something went wrong.", "Oops! Something went wrong.", "Something went wrong on our end.", "Please try again later.", "Try again later", "Too many requests.", "Rate limit exceeded. Slow down and retry.", "Retry in 60 seconds.", "Your session has expired.", "Please sign in again.", "Please log in to continue.", "Access denied.", "Access to this resource is denied.", "Access to the requested resource was denied by the server.", "Denied by the gateway.", "Access to this resource was denied.", "Access to this site was denied by the gateway.", "Denied by the gateway. Reference #9b21", "You do not have permission to access this page.",
-    "The server is temporarily unavailable.", "The server is down for maintenance.", "Scheduled maintenance, check back soon.", "Service temporarily unavailable", "Internal error while rendering the page", "Traceback (most recent call last):", "Traceback: renderer stopped, missing value", "Traceback: value missing", "Renderer stopped", "The renderer stopped: value is missing", "NullPointerException", "undefined is not a function", "KeyError: 'name'",
+    "The page you are looking for does not exist or has been moved.", "This page isn't working", "This site can't be reached.", "This site cannot be reached right now", "HTTP 500 returned by server", "Upstream connect error",
+    "upstream request timeout", "Error while fetching the page", "An error occurred while processing your request.", "An unexpected error occurred.", "An unexpected error has occurred. Please try again later.",
+    "Something went wrong.", "Oops! Something went wrong.", "Something went wrong on our end.", "Please try again later.", "Try again later", "Too many requests.", "Rate limit exceeded. Slow down and retry.", "Retry in 60 seconds.", "Your session has expired.", "Please sign in again.", "Please log in to continue.", "Access denied.", "Access to this resource is denied.", "Access to the requested resource was denied by the server.", "Access to this resource was denied.", "You do not have permission to access this page.",
+    "The server is temporarily unavailable.", "The server is down for maintenance.", "Scheduled maintenance, check back soon.", "Service temporarily unavailable", "Internal error while rendering the page", "Traceback (most recent call last):", "NullPointerException", "undefined is not a function", "KeyError: 'name'",
     "Bad Gateway", "Gateway Timeout", "Not Found", "Service Unavailable", "Internal Server Error", "Forbidden", "Request id 0a1b2c", "Reference #18.2f", "incident id 7f3a", "trace id 9c0d",
 )
 SCRIPTS = (
     "Please enable JavaScript to continue.", "Please enable JavaScript to view this page.", "You need to enable JavaScript to run this app.", "JavaScript is disabled.", "JavaScript is required.", "This page requires JavaScript.", "This site requires JavaScript and cookies.",
-    "Turn JavaScript on and reload the page.", "Turn on scripts in your browser.", "Scripts are disabled in your browser.", "Scripting must be allowed.", "Scripting must be enabled for this page to work.", "Activate scripts to see the content.", "Your browser is not supported.", "Your browser does not support JavaScript.", "Please update your browser.",
-    "Update your browser to view this page.", "Cookies are disabled.", "Please enable cookies.", "Checking your browser before accessing the site.", "Checking your browser...", "noscript", "The viewer needs client scripts.", "The app cannot start without scripts.", "Some parts of the page will not load.", "Reload the page to continue.", "Enable cookies and reload the page.",
+    "Turn JavaScript on and reload the page.", "Turn on scripts in your browser.", "Scripts are disabled in your browser.", "Scripting must be enabled for this page to work.", "Activate scripts to see the content.", "Your browser is not supported.", "Your browser does not support JavaScript.", "Please update your browser.",
+    "Update your browser to view this page.", "Cookies are disabled.", "Please enable cookies.", "Checking your browser before accessing the site.", "Checking your browser...", "noscript", "The app cannot start without scripts.", "Some parts of the page will not load.", "Reload the page to continue.", "Enable cookies and reload the page.",
 )
 #: Names of HTTP status codes (fixed values).
 STATUS_NAMES = ("Bad Request", "Unauthorized", "Forbidden", "Not Found", "Request Timeout", "Too Many Requests", "Internal Server Error", "Bad Gateway", "Service Unavailable", "Gateway Timeout")
@@ -151,7 +161,7 @@ def units(passage: str) -> list[list[int]]:
             previous = w
 
     at = 0
-    for m in _ANY.finditer(passage):
+    for m in _ANY.finditer(passage) if _MARK.search(passage) else ():
         add_words(passage[at : m.start()])
         kind = next(i for i in range(len(_NAMES)) if m.group(f"n{i}") is not None)
         name = _NAMES[kind]
@@ -163,56 +173,117 @@ def units(passage: str) -> list[list[int]]:
     return out
 
 
-def best_run(values: list[float]) -> float:
-    """Largest sum over consecutive values, 0 if all are negative."""
-    best = run = 0.0
-    for v in values:
-        run = max(0.0, run + v)
-        if run > best:
-            best = run
-    return best
+def encode(passage: str) -> tuple[list[int], list[int]]:
+    """Feature slots of all tokens, one after the other, and how many each token has."""
+    us = units(passage)
+    return [f for u in us for f in u], [len(u) for u in us]
+
+
+def best_runs(odds: np.ndarray, slots: np.ndarray, sizes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Per passage the largest sum over consecutive tokens, 0 if all are negative.
+
+    slots: features of all tokens of all passages; sizes: features by token;
+    tokens: tokens by passage.
+    """
+    out = np.zeros(len(tokens))
+    if not len(slots):
+        return out
+    total = np.add.reduceat(odds[slots].astype(float), np.cumsum(sizes) - sizes)
+    # a word and its pair overlap, so their odds count two thirds
+    value = np.clip(total / 1.5, -3.0, np.where(sizes == 2, MOST_TOKEN, MOST_PLACEHOLDER))
+    full = np.flatnonzero(tokens)
+    owner = np.repeat(np.arange(len(full)), tokens[full])
+    # sums before and after each token, moved down by passage so that a running minimum doesn't look back into the one before
+    after = np.cumsum(value)
+    down = owner * (2.0 * np.abs(value).sum() + 1.0)
+    least = np.minimum.accumulate(after - value - down) + down
+    starts = np.cumsum(tokens[full]) - tokens[full]
+    out[full] = np.maximum(0.0, np.maximum.reduceat(after - least, starts))
+    return out
+
+
+class _Counts:
+    """What the labelled passages and the corpus say about features: sums by slot."""
+
+    def __init__(self) -> None:
+        labelled = [set(encode(p)[0]) for p in trusted()]
+        self.seed = np.bincount([f for x in labelled for f in x], minlength=FEATURES).astype(float)
+        self.labelled = len(labelled)
+        self.all, self.passages = np.zeros(FEATURES), 0.0
+
+    def odds(self, positive: np.ndarray, mass: float) -> np.ndarray:
+        """Log-odds of the features when the corpus has ``mass`` passages of residue with these sums."""
+        pos, neg = self.seed + positive, np.maximum(0.0, self.all - positive)
+        n_pos, n_neg = self.labelled + mass, max(1.0, self.passages - mass)
+        share = (pos + neg) / (n_pos + n_neg)
+        odds = np.log((pos + PULL * share + 1e-9) / (n_pos + PULL)) - np.log((neg + PULL * share + 1e-9) / (n_neg + PULL))
+        odds[(pos + neg) == 0] = 0.0
+        return np.clip(odds, -4.0, 6.0).astype(np.float32)
+
+
+def log_odds(runs: np.ndarray, tokens: np.ndarray, prior: float) -> np.ndarray:
+    """Log-odds of residue: the best run is one of as many as there are tokens to start it."""
+    return runs + np.log(prior / (1 - prior)) - np.log(np.maximum(1, tokens))
+
+
+def posteriors(odds: np.ndarray) -> np.ndarray:
+    """Probability of residue; what is next to none is none, which keeps the sums sparse."""
+    p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    return np.where(p < 0.05, 0.0, p)
 
 
 class ResidueModel:
-    """Hashed log-odds of residue against everything else."""
+    """Hashed log-odds of residue against everything else, and the estimated share of residue."""
+
+    def __init__(self, odds: np.ndarray, prior: float = PRIOR):
+        self.odds, self.prior = odds, prior
 
-    def __init__(self, odds: np.ndarray):
-        self.odds = odds
+    def scores(self, passages: list[str]) -> np.ndarray:
+        """Log-odds of residue, above 0 where it is the likelier."""
+        made = [encode(p) for p in passages]
+        tokens = np.array([len(k) for _, k in made], np.int64)
+        runs = best_runs(self.odds, np.array([f for s, _ in made for f in s], np.int64), np.array([n for _, k in made for n in k], np.int64), tokens)
+        return log_odds(runs, tokens, self.prior)
 
     def score(self, passage: str) -> float:
-        odds = self.odds
-        # a word and its pair overlap, so their odds count two thirds
-        return best_run([max(-3.0, min(MOST_TOKEN if len(u) == 2 else MOST_PLACEHOLDER, float(sum(odds[f] for f in u)) / 1.5)) for u in units(passage)])
+        return float(self.scores([passage])[0])
+
+    @classmethod
+    def fit(cls, unlabelled: list[tuple[str, int]], rounds: int = ROUNDS) -> ResidueModel:
+        """Expectation-maximization over passages with their counts, held in memory."""
+        made = [(*encode(p), n) for p, n in unlabelled]
+        frame = pd.DataFrame({"slots": [m[0] for m in made], "sizes": [m[1] for m in made], "n": [float(m[2]) for m in made]})
+        return cls._rounds(lambda odds, prior: _sums(frame, odds, prior), rounds)
 
     @classmethod
-    def fit(cls, unlabelled: list[tuple[str, int]], rounds: int = 6, pull: float = 4.0) -> ResidueModel:
-        """EM over distinct passages with their counts.
-
-        pull: pseudo-observations that draw a feature's odds to those of the
-        classes, so that features nobody has seen say nothing.
-        """
-        labelled = [sorted({f for u in units(p) for f in u}) for p in trusted()]
-        seed = np.bincount([f for x in labelled for f in x], minlength=FEATURES).astype(float)
-        parts = [units(p) for p, _ in unlabelled]
-        counts = np.array([float(n) for _, n in unlabelled])
-        flat = np.array([f for us in parts for f in sorted({f for u in us for f in u})], np.int64)
-        sizes = [len({f for u in us for f in u}) for us in parts]
-        owner = np.repeat(np.arange(len(parts)), sizes)
-        residue = np.zeros(len(parts))
-        model = cls(np.zeros(FEATURES))
-        for turn in range(rounds):
-            pos = seed + (np.bincount(flat, (counts * residue)[owner], FEATURES) if len(flat) else 0.0)
-            neg = np.bincount(flat, (counts * (1 - residue))[owner], FEATURES) if len(flat) else np.zeros(FEATURES)
-            n_pos, n_neg = len(labelled) + float((counts * residue).sum()), max(1.0, float((counts * (1 - residue)).sum()))
-            share = (pos + neg) / (n_pos + n_neg)
-            model = cls(np.log((pos + pull * share + 1e-9) / (n_pos + pull)) - np.log((neg + pull * share + 1e-9) / (n_neg + pull)))
-            model.odds[(pos + neg) == 0] = 0.0
-            np.clip(model.odds, -4.0, 6.0, out=model.odds)
-            if turn < rounds - 1 and len(parts):
-                scores = np.array([model.score(p) for p, _ in unlabelled])
-                residue = 1 / (1 + np.exp(-np.clip(scores - THRESHOLD - TRAINING_MARGIN, -30, 30)))
-                residue[residue < 0.05] = 0.0
-        return cls(model.odds.astype(np.float32))
+    def _rounds(cls, sums_of: Callable[[np.ndarray | None, float], tuple[np.ndarray, float]], rounds: int) -> ResidueModel:
+        """sums_of: (sums by slot, passages) of the corpus, all of it, or of the residue in it for given odds and prior."""
+        counts, prior = _Counts(), PRIOR
+        counts.all, counts.passages = sums_of(None, prior)
+        positive, mass = np.zeros(FEATURES), 0.0
+        for _ in range(rounds):
+            positive, mass = sums_of(counts.odds(positive, mass), prior)
+            prior = min(0.5, max(1e-6, (mass + 1.0) / (counts.passages + 100.0)))
+        return cls(counts.odds(positive, mass), prior)
+
+
+def _sums(frame: pd.DataFrame, odds: np.ndarray | None, prior: float) -> tuple[np.ndarray, float]:
+    """Sums by slot over the passages of a frame (slots, sizes, n), each slot once a passage, and their number."""
+    if not len(frame):
+        return np.zeros(FEATURES), 0.0
+    n = frame["n"].to_numpy(float)
+    lengths = np.array([len(s) for s in frame.slots], np.int64)
+    flat = np.concatenate([np.asarray(s, np.int64) for s in frame.slots])
+    if odds is not None:
+        sizes = np.concatenate([np.asarray(s, np.int64) for s in frame.sizes])
+        tokens = np.array([len(s) for s in frame.sizes], np.int64)
+        n = n * posteriors(log_odds(best_runs(odds, flat, sizes, tokens), tokens, prior))
+        if not n.any():
+            return np.zeros(FEATURES), 0.0
+    owner = np.repeat(np.arange(len(frame)), lengths)
+    held = n[owner] > 0
+    once = np.unique(owner[held] * FEATURES + flat[held])
+    return np.bincount(once % FEATURES, n[once // FEATURES], FEATURES), float(n.sum())
 
 
 def fields_of(df: DataFrame, record_table: str, id_col: str, field_cols: list[str]) -> DataFrame:
@@ -225,21 +296,46 @@ def _norm(passage: str) -> str:
     return re.sub(r"\d", "0", passage.strip())
 
 
-def fit_residue(values: DataFrame, sample_values: int = SAMPLE_VALUES) -> ResidueModel:
-    """Fit on the values with the smallest hashes of record and text; independent of row order."""
-    sample = (
-        values.filter(F.col("text").rlike(r"\S"))
-        .select(F.xxhash64("record_table", "record_id", "field_name", "text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t"))
-        .orderBy("h")
-        .limit(sample_values)
-        .collect()
-    )
-    counts: dict[str, int] = {}
-    for r in sample:
-        for p in passages(r.t):
-            k = _norm(p)
-            counts[k] = counts.get(k, 0) + 1
-    return ResidueModel.fit(sorted(counts.items()))
+def fit_residue(values: DataFrame, rounds: int = ROUNDS) -> ResidueModel:
+    """Fit on all passages of all values."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+
+        def frame() -> pd.DataFrame:
+            made = [(*encode(p), n) for p, n in sorted(counts.items())]
+            counts.clear()
+            return pd.DataFrame(made, columns=["slots", "sizes", "n"])
+
+        for batch in batches:
+            for text in batch.text:
+                counts.update(_norm(p) for p in passages(text))
+            if len(counts) > HELD_PASSAGES:
+                yield frame()
+        yield frame()
+
+    encoded = stage(values.select("text").filter(F.col("text").rlike(r"\S")).mapInPandas(counted, "slots array<int>, sizes array<int>, n bigint"), "passages")
+
+    def sums_of(odds: np.ndarray | None, prior: float) -> tuple[np.ndarray, float]:
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, mass = np.zeros(FEATURES), 0.0
+            for batch in batches:
+                own, n = _sums(batch, odds, prior)
+                total += own
+                mass += n
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"slot": np.append(at, -1).astype(np.int32), "s": np.append(total[at], mass)})
+
+        out, mass = np.zeros(FEATURES), 0.0
+        found = encoded.mapInPandas(add, "slot int, s double").groupBy("slot").agg(F.sum("s").alias("s")).toPandas()
+        for slot, total in zip(found.slot, found.s):
+            if slot < 0:
+                mass = float(total)
+            else:
+                out[slot] = total
+        return out, mass
+
+    return ResidueModel._rounds(sums_of, rounds)
 
 
 def score_residue(values: DataFrame, model: ResidueModel | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -256,26 +352,20 @@ def score_residue(values: DataFrame, model: ResidueModel | None = None, threshol
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, float] = {}
-
-        def of(passage: str) -> float:
-            k = _norm(passage)
-            s = memo.get(k)
-            if s is None:
-                if len(memo) > 200_000:
-                    memo.clear()
-                s = memo[k] = model.score(k)
-            return s
-
         for batch in batches:
+            parts = [[_norm(p) for p in passages(text)] for text in batch.text]
+            if len(memo) > 200_000:
+                memo.clear()
+            new = sorted({p for ps in parts for p in ps if p not in memo})
+            memo.update(zip(new, model.scores(new).tolist()))
             best, clean = [], []
-            for text in batch.text:
-                parts = [(p, of(p)) for p in passages(text)]
-                top = max((s for _, s in parts), default=0.0)
+            for text, own in zip(batch.text, parts):
+                top = max((memo[p] for p in own), default=0.0)
                 best.append(top)
                 if top < threshold:
                     clean.append(text)
                 else:
-                    kept = [line for line in (" ".join(p for p in passages(line) if of(p) < threshold) for line in text.split("\n")) if line.strip(" -*>")]
+                    kept = [line for line in (" ".join(p for p in passages(line) if memo[_norm(p)] < threshold) for line in text.split("\n")) if line.strip(" -*>")]
                     clean.append("\n".join(kept) or None)
             out = batch[["record_table", "record_id", "field_name"]].copy()
             out["score"], out["clean_text"] = best, clean

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from quire.llm.residue import FIELD_NAMES, ResidueModel, best_run, fields_of, passages, score_residue, trusted, units
+from quire.llm.residue import FIELD_NAMES, ResidueModel, best_runs, fields_of, passages, score_residue, trusted, units
 
 CLEAN = [
     "The patient reports knee pain for two weeks.", "Scripts for the tablet are required every month.", "Left side {larger} than the right [sic], lesion <5 mm.", "Units [7] of saline were given.",
@@ -20,25 +21,27 @@ def model():
 
 @pytest.mark.parametrize("text", ["Patient {{ visit_date }} was seen.", "Amount due: [INSERT INSURER HERE]", "${amount_due}", "__DOB__", "%(reason)s", "<% facility %>", "Please enable JavaScript to view this report.", "502 Bad Gateway", "Lorem ipsum dolor sit amet", "Your text goes here.", "CPT 97160, balance 47.00 Amount due: {{amount_due}}"])
 def test_residue_is_found(model, text):
-    assert max(model.score(p) for p in passages(text)) >= 5
+    assert max(model.score(p) for p in passages(text)) >= 0
 
 
 @pytest.mark.parametrize("text", CLEAN)
 def test_ordinary_text_is_not(model, text):
-    assert max(model.score(p) for p in passages(text)) < 5
+    assert max(model.score(p) for p in passages(text)) < 0
 
 
 def test_every_notation_and_name(model):
-    missed = [f for name in FIELD_NAMES for f in (f"{{{{{name}}}}}", f"[[{name}]]", f"<<{name}>>", f"@@{name}@@") if model.score(f) < 5]
+    missed = [f for name in FIELD_NAMES for f in (f"{{{{{name}}}}}", f"[[{name}]]", f"<<{name}>>", f"@@{name}@@") if model.score(f) < 0]
     assert not missed
 
 
 def test_em_learns_unseen_filler_from_company(model):
-    assert "velum" not in " ".join(trusted()) and model.score("velum velum velum velum velum") >= 5
+    assert "velum" not in " ".join(trusted()) and model.score("velum velum velum velum velum") >= 0
 
 
 def test_parts():
-    assert best_run([-1, 2, 3, -4, 4]) == 5 and best_run([]) == 0 and best_run([-1]) == 0
+    odds = np.array([-1.5, 3, 4.5, -4.5, 6, 0])  # two thirds count, from -3 to 8
+    runs = best_runs(odds, np.array([0, 1, 2, 3, 4, 0, 4, 0, 4]), np.ones(9, int), np.array([5, 0, 1, 1, 0, 2, 0]))
+    assert runs.tolist() == [6, 0, 0, 4, 0, 4, 0] and best_runs(odds, np.array([], int), np.array([], int), np.zeros(2, int)).tolist() == [0, 0]
     assert units("") == [] and passages("") == []
 
 
