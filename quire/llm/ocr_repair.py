@@ -5,22 +5,27 @@ Three learned parts, each an averaged perceptron:
 * lines at the top and foot of pages are body, running header or page number,
   by their place, their repetition over the pages and how their numbers run;
 * a mark at a line's end joins the parts of a divided word or stays;
-* a character editor turns a word into another by replacing, deleting and
-  inserting characters at places where recognisers err, or keeps it.
+* a character editor turns a word into another by keeping, replacing, deleting
+  and inserting characters, or keeps it.  Pairs that recognisers confuse may be
+  edited together; any other letter may be replaced, lost or too many once a word.
 
 What is a word is counted over the whole corpus; forms that are a recogniser's
 error away from a far more frequent one aren't words.  Training material is
-made from these words and from generated pages.
+made from these words and from generated pages; words left out of the list teach
+which unknown words to keep, and how sure an edit of an ordinary letter must be.
 
 Scale: the word list is bounded by relative frequency (a word must make up
 ``MIN_SHARE`` of all tokens, so there are at most 1 / MIN_SHARE), counted with
-map-side combining; repair is one narrow stage.
+map-side combining, and its misread forms are sorted out in tasks; repair is one
+narrow stage.  Edits of a word are looked for along the beginnings of the words
+there are, so their number needs no limit.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from itertools import product
@@ -37,8 +42,6 @@ MIN_SHARE, MIN_COUNT = 1e-6, 3
 RATIO = 4.0
 #: Words the editor is trained on, at most (the most frequent).
 TRAIN_WORDS = 4000
-#: Lines of more characters aren't furniture.
-LONGEST_FURNITURE = 160
 NOISE_KINDS = ("hyphen", "misread", "header", "page_number")
 
 #: What recognisers read, and what may have stood there (fixed values).
@@ -53,8 +56,8 @@ _SURE_MARKS = "‐¬\xad=~"
 
 _ODD = [k for k in CONFUSIONS if len(k) == 1 and not (k.isascii() and k.isalpha())]
 _STRANGE_SITE = re.compile("[" + "".join(map(re.escape, _ODD)) + "]")
-_PLAIN_SITE = re.compile("(?=(" + "|".join(sorted((k for k in CONFUSIONS if k.isascii() and k.isalpha()), key=len, reverse=True)) + "))")
 _STRANGE = re.compile(r"[^\W\d_]*[0-9|!†$€@£¢°Ͱ-ӿﬁﬂﬀ]")
+_ADDRESS = re.compile(r"@[^\s@]*\.|://|^www\.", re.I)
 _CORE = re.compile(r"[^\W_]|[|!†$€£¢°]")
 
 
@@ -97,48 +100,114 @@ def core(token: str) -> tuple[int, int]:
     return lo, hi
 
 
-def variants(word: str, most_strange: int = 5) -> Iterator[tuple[str, list[tuple[str, str, int]], list[tuple[str, int]]]]:
-    """Edits of ``word``: (result, operations (seen, meant, place), strange places left alone), the word itself first.
+Edit = tuple[str, str, int]  # what is seen, what is meant, and its place
 
-    Characters that can't stand in a word are all edited or all left, in every
-    combination of what they can mean; ordinary letters, alone or in pairs, are
-    edited at up to two places (one, beside strange characters).
+
+def readings(word: str, words: Words, most_plain: int = 2) -> dict[str, list[Edit]]:
+    """Known words (in the case they come out in) that ``word`` may be a misreading of, by their edits.
+
+    Characters that can't stand in a word are all edited, ordinary letters, alone
+    or in pairs, at ``most_plain`` places at most.
     """
-    strange = [m.start() for m in _STRANGE_SITE.finditer(word)][:most_strange]
-    options = []
-    for p in strange:
-        spans = [(p, word[p])] + [(q, word[q : q + 2]) for q in (p - 1, p) if q >= 0 and len(word[q : q + 2]) == 2 and word[q : q + 2] in CONFUSIONS]
-        options.append([(q, seg, c) for q, seg in spans for c in CONFUSIONS[seg]])
-    odd = set(strange)
-    plain = [(m.start(), m.group(1)) for m in _PLAIN_SITE.finditer(word)]
-    plain = [(p, s) for p, s in plain if not odd.intersection(range(p, p + len(s)))][:12]
-    edits = [(p, s, c) for p, s in plain for c in CONFUSIONS[s]]
-    pairs = [(x, y) for i, x in enumerate(edits) for y in edits[i + 1 :] if x[0] + len(x[1]) <= y[0]] if not strange and len(edits) <= 8 else []
-    extra: list[tuple] = [(), *((e,) for e in edits), *pairs]
-    for choice in product(*options):
-        for more in extra:
-            ops = sorted((*choice, *more))
-            if any(x[0] + len(x[1]) > y[0] for x, y in zip(ops, ops[1:])):
-                continue
-            parts, at = [], 0
-            for p, s, c in ops:
-                parts += [word[at:p], c]
-                at = p + len(s)
-            yield "".join([*parts, word[at:]]), [(s, c, p) for p, s, c in ops], []
-    if strange:
-        yield word, [], [(word[p], p) for p in strange]
+    out: dict[str, list[Edit]] = {}
+    n = len(word)
+
+    def follow(at: int, low: str, result: str, edits: list[Edit], plain: int) -> None:
+        if low and not words.begins(low):
+            return
+        if at == n:
+            if edits and low in words.counts and (result not in out or len(edits) < len(out[result])):
+                out[result] = edits
+            return
+        c = word[at]
+        if c.isalpha() or c not in CONFUSIONS:
+            follow(at + 1, low + c.lower(), result + c, edits, plain)
+        for seen in (c, word[at : at + 2]) if at + 1 < n else (c,):
+            for meant in CONFUSIONS.get(seen, ()):
+                cost = 0 if any(x in _ODD for x in seen) else 1
+                if plain + cost <= most_plain:
+                    follow(at + len(seen), low + meant.lower(), result + meant, [*edits, (seen, meant, at)], plain + cost)
+
+    follow(0, "", "", [], 0)
+    return out
 
 
-class Words:
-    """Counts of the corpus's words, without misread forms."""
+def guesses(word: str) -> Iterator[tuple[str, list[Edit]]]:
+    """``word`` with all characters that can't stand in a word edited, without regard to what words there are:
+    every combination for up to three of them, else the usual ones and every other choice at one place."""
+    places = [m.start() for m in _STRANGE_SITE.finditer(word)]
+    options = [[(q, seg, c) for q, seg in [(p, word[p])] + [(q, word[q : q + 2]) for q in (p - 1, p) if q >= 0 and len(word[q : q + 2]) == 2 and word[q : q + 2] in CONFUSIONS] for c in CONFUSIONS[seg]] for p in places]
+    if not options:
+        return
+    usual = [o[0] for o in options]
+    choices = product(*options) if len(options) <= 3 else [usual, *([*usual[:i], x, *usual[i + 1 :]] for i, o in enumerate(options) for x in o[1:])]
+    for choice in choices:
+        ops = sorted(choice)
+        if any(x[0] + len(x[1]) > y[0] for x, y in zip(ops, ops[1:])):
+            continue
+        parts, at = [], 0
+        for p, seen, meant in ops:
+            parts += [word[at:p], meant]
+            at = p + len(seen)
+        yield "".join([*parts, word[at:]]), [(seen, meant, p) for p, seen, meant in ops]
+
+
+def single_edits(word: str, words: Words) -> dict[str, list[Edit]]:
+    """Known words that differ from ``word`` by one character of any kind, replaced, lost or too many."""
+    low, have, out = word.lower(), words.counts, {}
+
+    def add(at: int, seen: str, meant: str) -> None:
+        upper = (seen or word[at - 1 : at] if at else word[:1]).isupper() and (at == 0 or word.isupper())
+        out.setdefault(word[:at] + (meant.upper() if upper else meant) + word[at + len(seen) :], [(seen, meant, at)])
+
+    for i in range(len(word) + 1):
+        head, rest = low[:i], low[i:]
+        if rest and head + rest[1:] in have:
+            add(i, word[i], "")
+        for c in words.letters:
+            if rest and c != rest[0] and head + c + rest[1:] in have:
+                add(i, word[i], c)
+            if head + c + rest in have:
+                add(i, "", c)
+    return out
 
-    def __init__(self, counts: dict[str, int]):
-        self.counts = {}
-        for w, n in counts.items():
-            others = (v.lower() for v, ops, _ in variants(w) if ops)
-            if not any(counts.get(v, 0) >= RATIO * n for v in others):
-                self.counts[w] = n
-        self.total = max(1, sum(self.counts.values()))
+
+def keeps_case(word: str, result: str, edits: list[Edit]) -> bool:
+    """Whether an edit leaves a word in one case, apart from its first letter, if the letters that stay are so."""
+    touched = {i for seen, _, p in edits for i in range(p, p + len(seen))}
+    stay = "".join(c for i, c in enumerate(word) if i not in touched and i > 0 and c.isalpha())
+    if not stay or not (stay.islower() or stay.isupper()):
+        return True
+    inner = "".join(c for c in result[1:] if c.isalpha())
+    return inner.islower() if stay.islower() else inner.isupper()
+
+
+class Words:
+    """Counts of the corpus's words in lower case; misread forms among them are left out unless ``checked`` already."""
+
+    def __init__(self, counts: dict[str, int], checked: bool = False):
+        self._take(counts)
+        if not checked:
+            self._take({w: n for w, n in counts.items() if not self.is_misread(w)})
+
+    def _take(self, counts: dict[str, int]) -> None:
+        self.counts, self._sorted = counts, sorted(counts)
+        self.total = max(1, sum(counts.values()))
+        letters: Counter = Counter()
+        for w in counts:
+            letters.update(w)
+        total = sum(letters.values())
+        #: the letters that make up a thousandth of the list's
+        self.letters = sorted(c for c, n in letters.items() if c.isalpha() and n * 1000 >= total)
+
+    def begins(self, start: str) -> bool:
+        at = bisect_left(self._sorted, start)
+        return at < len(self._sorted) and self._sorted[at].startswith(start)
+
+    def is_misread(self, word: str) -> bool:
+        """Whether a far more frequent word may have been read as this one."""
+        n = self.counts[word]
+        return any(self.counts[v.lower()] >= RATIO * n for v in readings(word, self) if v.lower() != word)
 
     def level(self, word: str) -> int:
         n = self.counts.get(word.lower(), 0)
@@ -146,8 +215,7 @@ class Words:
 
 
 _BREAK = re.compile(rf"[{MARKS.replace('-', chr(92) + '-')}][ \t]*\n[ \t]*")
-_BEFORE = re.compile(r"[^\W\d_]{2,40}$")
-_SMALL = re.compile(r"[a-zß-öø-ÿ][^\W\d_]{1,39}")
+_SMALL = re.compile(r"[a-zß-öø-ÿ][^\W\d_]+")
 #: Different tokens a task holds before it passes their counts on.
 HELD_TOKENS = 200_000
 
@@ -167,10 +235,12 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text in batch.text:
             tokens.update(text.split())
             for m in _BREAK.finditer(text):
-                left = _BEFORE.search(text, max(0, m.start() - 41), m.start())
+                at = m.start()
+                while at and text[at - 1].isalpha():
+                    at -= 1
                 right = _SMALL.match(text, m.end())
-                if left and right:
-                    parts[left.group().lower(), right.group().lower()] += 1
+                if m.start() - at > 1 and right:
+                    parts[text[at : m.start()].lower(), right.group().lower()] += 1
         if len(tokens) > HELD_TOKENS:
             yield frame()
     yield frame()
@@ -187,18 +257,37 @@ def count_words(texts: DataFrame) -> dict[str, int]:
     counted = stage(texts.select("text").filter("text is not null").mapInPandas(_count, "t string, b string, n bigint"), "words")
     strip = F.regexp_replace(F.lower("t"), r"^[^\p{L}\p{N}|!†$€]+|[^\p{L}\p{N}|†$€]+$", "")
     tokens = counted.filter("b is null").groupBy("t").agg(F.sum("n").alias("n"))
-    words = tokens.select(strip.alias("w"), "n").filter(r"w rlike '\\p{L}{2}' and length(w) <= 40").groupBy("w").agg(F.sum("n").alias("n"))
+    words = tokens.select(strip.alias("w"), "n").filter(r"w rlike '\\p{L}{2}'").groupBy("w").agg(F.sum("n").alias("n"))
     words = stage(words, "words")
     total = words.agg(F.sum("n")).first()[0] or 0
     least = max(MIN_COUNT, MIN_SHARE * total)
     counts = {r.w: r.n for r in words.filter(F.col("n") >= least).collect()}
     pairs = counted.filter("b is not null").groupBy("t", "b").agg(F.sum("n").alias("n"))
     joined = pairs.groupBy(F.concat("t", "b").alias("w")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("places"))
-    for r in joined.filter((F.col("n") >= least) & (F.col("places") > 1) & (F.length("w") <= 40)).collect():
+    for r in joined.filter((F.col("n") >= least) & (F.col("places") > 1)).collect():
         counts[r.w] = counts.get(r.w, 0) + r.n
     return counts
 
 
+def known_words(texts: DataFrame) -> Words:
+    """The words of all rows of ``texts.text``; misread forms are sorted out in tasks."""
+    counts = count_words(texts)
+    if not counts:
+        return Words({}, checked=True)
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(counts)  # at most 1 / MIN_SHARE words, and as many divided ones
+
+    def sound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words(shared.value, checked=True)
+        for batch in batches:
+            yield batch[[not words.is_misread(w) for w in batch.w]]
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.createDataFrame(pd.DataFrame({"w": sorted(counts)}), "w string").repartition(cores, "w")
+    good = rows.mapInPandas(sound, "w string").toPandas().w
+    return Words({w: counts[w] for w in sorted(good)}, checked=True)
+
+
 # --- character editor -------------------------------------------------------
 
 
@@ -209,44 +298,59 @@ def _shape(c: str) -> str:
 class Editor:
     """Chooses among the edits of a word."""
 
-    def __init__(self, words: Words, weights: dict[str, float] | None = None):
-        self.words, self.weights = words, weights or {}
+    def __init__(self, words: Words, weights: dict[str, float] | None = None, margin: float = 0.0):
+        self.words, self.weights, self.margin = words, weights or {}, margin
         self._memo: dict[str, str] = {}
 
     def __getstate__(self) -> dict:
-        return {"words": self.words, "weights": self.weights}
+        return {"words": self.words, "weights": self.weights, "margin": self.margin}
 
     def __setstate__(self, state: dict) -> None:
-        self.__init__(state["words"], state["weights"])
+        self.__init__(**state)
 
-    def candidates(self, word: str) -> list[tuple[str, list[str]]]:
-        out, seen = [], set()
+    def candidates(self, word: str) -> list[tuple[str, list[str], bool]]:
+        """(result, features, whether an ordinary character is edited), the word itself first."""
         here = self.words.level(word)
-        for result, ops, kept in variants(word):
-            if result in seen:
+        strange = list(_STRANGE_SITE.finditer(word))
+        kept = [f for m in strange for f in ("odd kept", f"keep {m.group()}", f"keep {m.group()} {_shape(word[m.start() - 1 : m.start()] if m.start() else '')}{_shape(word[m.end() : m.end() + 1])}")]
+        out = [(word, [f"words {here} {here} False", f"edits 0 {here > 0}", f"strange {bool(_STRANGE.search(word))} False", *kept], False)]
+        seen = {word}
+        known = readings(word, self.words, 2 if not strange else 1)
+        for result, ops in [*known.items(), *guesses(word)]:
+            if result in seen or not keeps_case(word, result, ops):
                 continue
             seen.add(result)
-            level = self.words.level(result) if ops else here
-            f = [f"words {here} {level} {bool(ops)}", f"edits {min(len(ops), 3)} {level > 0}", f"strange {bool(_STRANGE.search(result))} {bool(ops)}"]
+            level = self.words.level(result)
+            f = [f"words {here} {level} True", f"edits {min(len(ops), 3)} {level > 0}", f"strange {bool(_STRANGE.search(result))} True"]
             for s, c, p in ops:
-                before, after = _shape(word[p - 1 : p]), _shape(word[p + len(s) : p + len(s) + 1])
+                before, after = _shape(word[p - 1 : p] if p else ""), _shape(word[p + len(s) : p + len(s) + 1])
                 if not (s.isascii() and s.isalpha()):
                     f.append(f"odd op {level > 0}")
                 f += [f"op {s}>{c}", f"op {s}>{c} {before}{after}", f"op {s} {level > 0}"]
-            for s, p in kept:
-                if not (s.isascii() and s.isalpha()):
-                    f += ["odd kept", f"keep {s}", f"keep {s} {_shape(word[p - 1 : p])}{_shape(word[p + len(s) : p + len(s) + 1])}"]
-            out.append((result, f))
+            out.append((result, f, False))
+        if not here and not known and len(word) > 3 and not word.istitle():  # which may be a name
+            found = single_edits(word, self.words)
+            for result, ((s, c, p),) in found.items():
+                if result not in seen:
+                    out.append((result, self._single(word, s, c, p, self.words.level(result), len(found)), True))
         return out
 
+    @staticmethod
+    def _single(word: str, seen: str, meant: str, at: int, level: int, many: int) -> list[str]:
+        kind = "replace" if seen and meant else "delete" if seen else "insert"
+        where = "first" if at == 0 else "last" if at + len(seen) >= len(word) else "inner"
+        size, odd = min(len(word), 10), bool(seen) and not seen.isalpha()
+        double = (seen or meant).lower() in (word[at - 1 : at].lower() if at else "", word[at + len(seen) : at + len(seen) + 1].lower())
+        return [
+            "single", f"single {kind} {where}", f"single {kind} {size}", f"single {where} {size}", f"single level {level} {size > 6}", f"single case {word[:1].isupper()} {word.isupper()}",
+            f"single {kind} {seen.lower()}>{meant.lower()}", f"single many {min(many, 3)} {size > 6}", f"single double {double} {kind}", f"single odd {odd}", f"single {where} {kind} {seen.lower()}>{meant.lower()}",
+        ]
+
     def best(self, word: str) -> str:
         get = self.weights.get
-        top, choice = float("-inf"), word
-        for result, feats in self.candidates(word):
-            s = sum([get(f, 0.0) for f in feats])
-            if s > top:
-                top, choice = s, result
-        return choice
+        scored = [(sum([get(f, 0.0) for f in feats]) - (self.margin if single else 0.0), result) for result, feats, single in self.candidates(word)]
+        top = max(s for s, _ in scored)
+        return next(r for s, r in scored if s == top)
 
     def repair(self, token: str) -> str:
         """The token with its word repaired; codes, numbers and addresses stay."""
@@ -270,12 +374,14 @@ class Editor:
             return token
         letters = sum(c.isalpha() for c in word)
         digits = sum(c.isdigit() for c in word)
-        if letters < 2 or digits * 2 > letters or "@" in word or "/" in word or "." in word or len(word) > 40 or re.search(r"\d\d", word):
+        if letters < 2 or digits * 2 > letters or _ADDRESS.search(word):
+            return token
+        if not digits and (parts := re.split(r"([-./])", word))[1:]:  # parts of a compound are words of their own
+            return token[:lo] + "".join(self.repair(p) if len(p) > 1 else p for p in parts) + token[hi:]
+        fixed = self.best(word)
+        if re.search(r"\d\d|[./]", word) and not self.words.level(fixed):  # figures in a code, unless that makes a word
             return token
-        if "-" in word and not digits:  # parts of a compound are words of their own
-            parts = word.split("-")
-            return token[:lo] + "-".join(self.repair(p) if len(p) > 1 else p for p in parts) + token[hi:]
-        return token[:lo] + self.best(word) + token[hi:]
+        return token[:lo] + fixed + token[hi:]
 
     @classmethod
     def train(cls, words: Words, epochs: int = 2, seed: int = 13) -> Editor:
@@ -290,14 +396,18 @@ class Editor:
         unknown = ["".join(rng.choice(("bra", "cal", "dor", "fen", "mir", "quel", "stra", "ven", "zel", "tho", "lin", "kro")) for _ in range(2)) + rng.choice(("quist", "mann", "olm", "wick", "sley", "ette", "dottir", "")) for _ in range(max(200, len(stock) // 4))]
         umlauts = [u[:2] + "ü" + u[3:] for u in unknown[::3]] + ["für", "über", "Rücken", "fühlt", "Prüfung", "Müller", "natürlich"] * 8
         codes = [f"{rng.choice('BTKHM')}{rng.randrange(10)}" + rng.choice(("", "b", "c")) for _ in range(60)] + ["HbA1c", "SpO2", "B12", "L5", "CO2", "H2", "T4"]
-        editor, model = cls(words), Perceptron()
-        for _ in range(epochs):
-            sample = [(w, True) for w in stock] + [(w, False) for w in unknown] + [(c, None) for c in (*codes, *umlauts)]
+        rng.shuffle(stock)
+        unlisted = stock[: len(stock) // 6]  # words that the list lacks while the editor is trained
+        left_out = set(unlisted)
+        editor, model = cls(Words({w: n for w, n in words.counts.items() if w not in left_out}, checked=True)), Perceptron()
+        stock = stock[len(unlisted) :]
+        for turn in range(epochs):
+            sample = [(w, True) for w in stock] + [(w, False) for w in unknown] + [(c, None) for c in (*codes, *umlauts, *unlisted)]
             rng.shuffle(sample)
             for word, known in sample:
                 true = word.capitalize() if (known is False or rng.random() < 0.2) and known is not None else word.upper() if known and rng.random() < 0.03 else word
-                observed = true
-                if known is not None and rng.random() < 0.6:
+                observed, chance = true, rng.random()
+                if known is not None and chance < 0.5:
                     places = list(pattern.finditer(true))
                     rng.shuffle(places)
                     # where no list helps, only characters that can't stand in a word give an error away
@@ -305,14 +415,38 @@ class Editor:
                         choices = [s for s in backwards[m.group()] if known or not s.isascii() or not s.isalpha()]
                         if choices:
                             observed = observed[: m.start()] + rng.choice(choices) + observed[m.end() :]
+                elif known and chance < 0.7:
+                    observed = damaged(true, words.letters, rng)
+                if editor.words.level(observed) and observed != true:
+                    continue
                 found = editor.candidates(observed)
-                gold = next((f for r, f in found if r == true), None)
+                gold = next((f for r, f, _ in found if r == true), None)
                 if gold is None:
                     continue
                 guess = max(found, key=lambda x: model.score(x[1]))
                 if guess[0] != true:
                     model.update(gold, guess[1])
-        return cls(words, model.average())
+        weights = model.average()
+        return cls(words, weights, cls(editor.words, weights).least_margin(unlisted))
+
+    def least_margin(self, keep: list[str], wrong: float = 0.005, least: int = 100) -> float:
+        """How far the edit of an ordinary letter must lead so that at most ``wrong`` of these unknown words are edited so;
+        with fewer than ``least`` words to tell, no such edit is sure enough."""
+        if len(keep) < least:
+            return float("inf")
+        lead = []
+        for word in keep:
+            scored = [(sum(self.weights.get(f, 0.0) for f in feats), single) for _, feats, single in self.candidates(word)]
+            lead.append(max([s for s, single in scored if single], default=float("-inf")) - max(s for s, single in scored if not single))
+        lead.sort()
+        return max(0.0, lead[min(len(lead) - 1, int(len(lead) * (1 - wrong)))] + 1e-6)
+
+
+def damaged(word: str, letters: list[str], rng: random.Random) -> str:
+    """A word with one character replaced by any other, lost or added."""
+    at = rng.randrange(len(word))
+    new = rng.choice(letters) if rng.random() < 0.8 else rng.choice(";:*#%&+~^")
+    return rng.choice((word[:at] + new + word[at + 1 :], word[:at] + new + word[at + 1 :], word[:at] + word[at + 1 :], word[:at] + new + word[at:]))
 
 
 # --- divided words ----------------------------------------------------------
@@ -437,11 +571,11 @@ def split_pages(text: str) -> tuple[list[Page], bool]:
 
 
 def _edges(page: Page) -> list[tuple[int, str]]:
-    """(line, place) of the lines that furniture can be: two at the top, two at the foot."""
-    full = [i for i, line in enumerate(page.lines) if line.strip()]
+    """(line, place) of the lines that furniture can be: two at the top, two at the foot, furniture that is known apart."""
+    full = [i for i, line in enumerate(page.lines) if line.strip() and page.kinds[i] == "body"]
     out: dict[int, str] = {}
     for place, at in (("top0", 0), ("foot0", -1), ("top1", 1), ("foot1", -2)):
-        if -len(full) <= at < len(full) and len(page.lines[full[at]]) <= LONGEST_FURNITURE:
+        if -len(full) <= at < len(full):
             out.setdefault(full[at], place)
     return list(out.items())
 
@@ -491,23 +625,35 @@ class Furniture:
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
 
-    def label(self, pages: list[Page], marked: bool, first_page: int | None, score: Callable[[list[str]], float] | None = None, gold: Callable | None = None) -> None:
+    def label(self, pages: list[Page], marked: bool, first_page: int | None) -> None:
+        """Mark furniture from the edges inwards, as long as pages have nothing else at an edge."""
+        behind = False
+        while self._label(pages, marked, first_page, behind):
+            behind = True
+
+    def _label(self, pages: list[Page], marked: bool, first_page: int | None, behind: bool = False, gold: Callable | None = None) -> bool:
+        """Mark furniture among the outermost lines; whether there may be more behind it.
+
+        ``behind`` known furniture only lines that stand on nearly all pages are more of it.
+        """
         edges = [(k, i, place, page.lines[i]) for k, page in enumerate(pages) for i, place in _edges(page)]
-        # long sentence-like lines are only looked at if they recur
         groups: list[tuple[str, str, set[int]]] = []
         exact: dict[tuple[str, str], int] = {}
+        ends: dict[tuple[str, tuple[str, str], int], list[int]] = defaultdict(list)
         member: list[int] = []
         for k, _, place, line in edges:
             key, side = _key(line), place[:-1]
             at = exact.get((key, side))
             if at is None:
-                # likeness is only tried against lines of two pages or more, or the latest lines
-                tries = [g for g in range(len(groups)) if groups[g][1] == side and abs(len(groups[g][0]) - len(key)) <= max(2, len(key) // 5)]
-                tries = [g for g in tries if len(groups[g][2]) > 1] + [g for g in tries if len(groups[g][2]) == 1][-6:]
-                at = next((g for g in tries if _close(groups[g][0], key)), None) if page_value(line) is None else None
+                # alike keys begin or end alike and differ in length by three at most
+                if page_value(line) is None:
+                    near = {g for end in (("a", key[:4]), ("z", key[-4:])) for n in range(len(key) - 3, len(key) + 4) for g in ends[side, end, n]} if len(key) > 4 else ()
+                    at = next((g for g in sorted(near) if _close(groups[g][0], key)), None)
                 if at is None:
                     at = len(groups)
                     groups.append((key, side, set()))
+                    for end in (("a", key[:4]), ("z", key[-4:])):
+                        ends[side, end, len(key)].append(at)
                 exact[key, side] = at
             groups[at][2].add(k)
             member.append(at)
@@ -522,10 +668,11 @@ class Furniture:
         for (k, _, _, line), g in zip(edges, member):
             if len(groups[g][2]) > 1:
                 figures[g].append((k, tuple(re.findall(r"\d+", line))))
+        new: dict[tuple[int, int], tuple[str, str]] = {}
         for (k, i, place, line), g in zip(edges, member):
             times = len(groups[g][2])
             value = values[k, i]
-            if times == 1 and value is None:
+            if (times == 1 and value is None) or (behind and times / n_pages <= 0.85):
                 if gold:
                     gold(k, i, None)
                 continue
@@ -548,7 +695,13 @@ class Furniture:
                 gold(k, i, feats)
                 continue
             w = self.weights
-            pages[k].kinds[i] = max(self.LABELS, key=lambda y: sum(w.get(f"{y} {f}", 0.0) for f in feats))
+            kind = max(self.LABELS, key=lambda y: sum(w.get(f"{y} {f}", 0.0) for f in feats))
+            if kind != "body":
+                new[k, i] = kind, place
+        for (k, i), (kind, _) in new.items():
+            pages[k].kinds[i] = kind
+        # behind both lines of an edge there may be more
+        return any(sum(q == k and p[:-1] == place[:-1] for (q, _), (_, p) in new.items()) > 1 for (k, _), (_, place) in new.items() if place[-1] == "1")
 
     @classmethod
     def train(cls, documents: int = 1500, seed: int = 19) -> Furniture:
@@ -562,7 +715,7 @@ class Furniture:
                 if feats:
                     data.append((feats, truth.get(pages[k].lines[i], "body")))
 
-            cls({}).label(pages, marked, first, gold=take)
+            cls({})._label(pages, marked, first, gold=take)
         for _ in range(6):
             rng.shuffle(data)
             for feats, y in data:
@@ -641,8 +794,7 @@ class Repairer:
         self.__init__(*state["parts"])
 
     @classmethod
-    def train(cls, counts: dict[str, int]) -> Repairer:
-        words = Words(counts)
+    def train(cls, words: Words) -> Repairer:
         editor = Editor.train(words)
         return cls(editor, Joiner.train(editor), Furniture.train())
 
@@ -748,7 +900,7 @@ class Repairer:
 
 
 def train_repairer(texts: DataFrame) -> Repairer:
-    return Repairer.train(count_words(texts.select("text").filter("text is not null")))
+    return Repairer.train(known_words(texts.select("text").filter("text is not null")))
 
 
 def repair_scans(texts: DataFrame, repairer: Repairer | None = None, with_text: bool = True) -> DataFrame:
