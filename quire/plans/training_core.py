@@ -15,7 +15,7 @@ _TABLES = ("ocr_chunks", "summary_requests")
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
-        repeated_messages(table(spark, sf_dir, t), _KEYS, _ORDER).select(F.lit(t).alias("record_table"), "job_id", "chunk_id")
+        repeated_messages(table(spark, sf_dir, t), _KEYS, _ORDER, batch="batch_id").select(F.lit(t).alias("record_table"), "job_id", "chunk_id")
         for t in _TABLES
     ]
     return parts[0].unionByName(parts[1])
@@ -23,16 +23,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exactly one row of each chunk message, its first delivery."""
-    payload = ["delivery_id", "batch_id", "trace_id", "text", "page_range", "shard_id", "source_event_id", "total_pages", "created_at", "received_at", "metadata"]
-    return collapse_deliveries(table(spark, sf_dir, "ocr_chunks"), _KEYS, _ORDER, payload).select(
+    return collapse_deliveries(table(spark, sf_dir, "ocr_chunks"), _KEYS, _ORDER, ["delivery_id", "batch_id", "text"], batch="batch_id").select(
         "delivery_id", "batch_id", "job_id", "chunk_id", "text", "copies"
     )
 
 
 def p2_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exactly one row of each request message, its first delivery."""
-    payload = ["delivery_id", "batch_id", "text", "section_index", "total_sections", "received_at"]
-    return collapse_deliveries(table(spark, sf_dir, "summary_requests"), _KEYS, _ORDER, payload).select(
+    return collapse_deliveries(table(spark, sf_dir, "summary_requests"), _KEYS, _ORDER, ["delivery_id", "batch_id", "text", "section_index"], batch="batch_id").select(
         "delivery_id", "batch_id", "job_id", "chunk_id", "text", "section_index", "copies"
     )
 

@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from quire.operators.deliveries import MessageStore, collapse_deliveries, repeated_messages
+from quire.operators.deliveries import MessageStore, collapse_deliveries, message_key, repeated_messages
 
 T0 = datetime(2025, 1, 1)
 SCHEMA = "delivery_id long, job_id string, chunk_id string, text string, received_at timestamp, metadata map<string,string>, _row string, copies int"
@@ -53,8 +53,6 @@ def test_hot_key_and_long_text(spark):
 
 def test_store_is_idempotent_and_compacts(spark, messages):
     keyed = messages.filter("trim(chunk_id) <> '' and job_id is not null")
-    from quire.operators.deliveries import message_key
-
     keyed = keyed.withColumns({k: message_key(k) for k in ("job_id", "chunk_id")})
     store = MessageStore(spark, ["job_id", "chunk_id"], ["received_at", "delivery_id"], ["delivery_id"], buckets=3)
     store.upsert(keyed.filter("delivery_id < 3"), "a")
@@ -71,3 +69,38 @@ def test_store_is_idempotent_and_compacts(spark, messages):
     store.upsert(keyed.filter("delivery_id = 7"), "c")
     store.compact()
     assert {r.copies for r in store.read().filter("job_id = 'job-2'").collect()} == {3}
+    store.close()
+
+
+def test_store_after_a_restart(spark, messages, tmp_path):
+    keyed = messages.filter("trim(chunk_id) <> ''").withColumns({k: message_key(k) for k in ("job_id", "chunk_id")})
+    args = (["job_id", "chunk_id"], ["received_at", "delivery_id"], ["delivery_id"], f"file://{tmp_path}/store", 3)
+    first = MessageStore(spark, *args)
+    first.upsert(keyed.filter("delivery_id < 3"), "a")
+    first.close()
+    second = MessageStore(spark, *args)
+    second.upsert(keyed.filter("delivery_id < 3"), "a")
+    second.upsert(keyed.filter("delivery_id >= 3"), "b")
+    want = sorted((str(r.job_id), r.chunk_id, r.delivery_id, r.copies) for r in second.read().collect())
+    assert want == [("None", "chunk-9", 8, 2), ("job-1", "chunk-1", 2, 2), ("job-1", "chunk-2", 3, 1), ("job-2", "chunk-1", 4, 2)]
+    stale = MessageStore(spark, *args)
+    second.compact()
+    with pytest.raises(Exception, match="(?i)exist"):  # another writer was first
+        stale.upsert(keyed, "c")
+    third = MessageStore(spark, *args)
+    assert sorted((str(r.job_id), r.chunk_id, r.delivery_id, r.copies) for r in third.read().collect()) == want and set(third.runs) == {"a", "b"}
+    with pytest.raises(ValueError):
+        MessageStore(spark, ["job_id"], *args[1:])
+    for s in (second, stale, third):
+        s.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("messages_")]
+
+
+def test_merge_neither_shuffles_nor_sorts(spark, messages, tmp_path):
+    keyed = messages.filter("trim(chunk_id) <> '' and job_id is not null").withColumns({k: message_key(k) for k in ("job_id", "chunk_id")})
+    store = MessageStore(spark, ["job_id", "chunk_id"], ["received_at", "delivery_id"], ["delivery_id"], buckets=3)
+    for i in range(3):
+        store.upsert(keyed.filter(f"delivery_id % 3 = {i}"), f"run-{i}")
+    plan = store.read()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    store.close()
