@@ -11,7 +11,8 @@ writing.
 Scale: a run is collapsed by a sort-based aggregation whose partial step works
 before the shuffle, so a message delivered billions of times leaves each map
 task once.  Merging is a full outer sort-merge join of equally bucketed, sorted
-files: no exchange and no sort, and a run holds one row a key.  Buckets let
+files: no exchange and no sort, and a run holds one row a key.  (Reading more
+than two runs uncompacted brings merged rows together anew.)  Buckets let
 lookups by identifier read one file a run.
 """
 
@@ -123,18 +124,18 @@ class MessageStore:
         return views[0]
 
     def compact(self) -> None:
-        """Merge all runs into one; the old runs go once the manifest names the new one.
+        """Merge all runs into one, two by two; old runs go once the manifest names the new one.
 
         Run ids stay known, so a late repeat of an old upload still has no effect.
         """
-        old = list(dict.fromkeys(self.runs.values()))
-        if len(old) < 2:
-            return
-        merged = self._write(self._view(old), "merged")
-        self._commit(dict.fromkeys(self.runs, merged))
-        for directory in old:
-            self.spark.sql(f"drop table {self._tables.pop(directory)}")
-            scratch.remove(self.spark, f"{self.path}/{directory}")
+        while len(old := list(dict.fromkeys(self.runs.values()))) > 1:
+            became = {}
+            for pair in (old[i : i + 2] for i in range(0, len(old) - 1, 2)):
+                became.update(dict.fromkeys(pair, self._write(self._view(pair), "merged")))
+            self._commit({run: became.get(d, d) for run, d in self.runs.items()})
+            for directory in became:
+                self.spark.sql(f"drop table {self._tables.pop(directory)}")
+                scratch.remove(self.spark, f"{self.path}/{directory}")
 
     def read(self, count: str = "copies") -> DataFrame:
         """One row per message: keys, payload and ``count``, the number of rows it came in."""
