@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TYPES = ("email", "phone", "id_number", "address", "name")
-#: Longest segment, in characters.
-LONGEST = 90
+#: Most capitalised words of a name.
+NAME_WORDS = 7
+#: Small words inside names (fixed values).
+PARTICLES = r"(?:de|del|della|di|da|do|dos|das|du|d'|la|las|los|le|van|von|der|den|ter|zu|zur|y|e|bin|ibn|al|el|af)"
 
 #: Given names of many languages (fixed values).
 GIVEN = frozenset(
@@ -60,13 +62,14 @@ STREETS = r"(?:street|st|avenue|ave|road|rd|boulevard|blvd|lane|ln|court|ct|terr
 _UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĘĚĞĢĦĪİĶĹĻŁŃŇŐŒŔŘŚŞŠŢŤŪŮŰŹŻŽ"
 _IN = r"\w'’|!†"
 _CAP = rf"[{_UP}][{_IN}]*(?:-\s?[{_IN}]+)*"
-#: Capitalised words in a row, however many; only the spans inside are bounded.
-_RUN = re.compile(rf"(?<![\w@.+]){_CAP}\.?(?:,?\s{{1,3}}{_CAP}\.?)+")
+#: Capitalised words in a row, also with small words of names between them, however many; only the spans inside are bounded.
+_RUN = re.compile(rf"(?<![\w@.+]){_CAP}\.?(?:,?\s{{1,3}}(?:{PARTICLES}\s{{1,3}}){{0,3}}{_CAP}\.?)+")
 #: A title and the word after it.  All alternatives start with a capital, which lets the scan skip; callers check what stands before.
 _ONE = re.compile("(?:" + "|".join(sorted({v for t in TITLES for v in (t.capitalize(), t.upper())})) + rf")\b\.?\s{{1,3}}({_CAP})")
 _NURSE = re.compile(rf"nurse\s{{1,3}}({_CAP})")
+_PARTICLE = re.compile(rf"\s{PARTICLES}\s")
 _WORD_IN_RUN = re.compile(_CAP)
-_EMAIL = re.compile(r"[\w.+%-]{1,40}(?:\s?@\s?|\s?[(\[{]\s?at\s?[)\]}]\s?)[\w-]+(?:(?:\s?[(\[{]\s?dot\s?[)\]}]\s?|\.)[\w-]+)+", re.I)
+_EMAIL = re.compile(r"[\w.+%-]{1,64}(?:\s?@\s?|\s?[(\[{]\s?at\s?[)\]}]\s?)[\w-]+(?:(?:\s?[(\[{]\s?dot\s?[)\]}]\s?|\.)[\w-]+)+", re.I)
 #: Runs of digits with the marks that join them; what a run holds is sorted out afterwards.
 _DIGITS = re.compile(r"\d[\d().+\-/ \n]{4,}\d")
 _DATE = r"(?<!\d)(?:0?[1-9]|[12]\d|3[01])[/.-](?:0?[1-9]|[12]\d|3[01])[/.-](?:(?:19|20)\d\d|\d\d)(?!\d)|(?<!\d)(?:19|20)\d\d-\d{2}-\d{2}(?!\d)"
@@ -122,13 +125,13 @@ _LONG_RUN = 200
 
 
 def _spans_of(run: str) -> tuple[tuple[int, int], ...]:
-    """Spans of two to four words within a run of capitalised words that can be names."""
+    """Spans of two to :data:`NAME_WORDS` words within a run of capitalised words that can be names."""
     parts = [w.span() for w in _WORD_IN_RUN.finditer(run)]
     known = [_plain(run[a:b]) in NOT_NAMES for a, b in parts]
     return tuple(
         (parts[i][0], parts[j][1])
         for i in range(len(parts))
-        for j in range(i + 1, min(i + 4, len(parts)))
+        for j in range(i + 1, min(i + NAME_WORDS, len(parts)))
         if parts[j][1] - parts[j][0] > 1 and not (known[i] and known[j])
     )
 
@@ -140,11 +143,19 @@ def _name_spans(run: str) -> tuple[tuple[int, int], ...]:
     return (_spans_of if len(run) > _LONG_RUN else _remembered_spans)(run)
 
 
+def _is_address(span: str) -> bool:
+    """Whether an e-mail address has the lengths that the mail standards allow and ends in a domain's letters,
+    written in one case unless there are three at most (a sentence may follow an at sign without a blank)."""
+    labels = re.split(r"\.|\s?[(\[{]\s?dot\s?[)\]}]\s?", re.split(r"@|[(\[{]\s?at\s?[)\]}]", span, flags=re.I)[-1].strip(), flags=re.I)
+    last = labels[-1]
+    return len(span) <= 254 and max(map(len, labels)) <= 63 and last.isalpha() and 2 <= len(last) <= 24 and (last.islower() or last.isupper() or len(last) < 4)
+
+
 def segments(text: str) -> list[tuple[int, int, str]]:
     """Candidate segments (start, end, type); a span may stand for several types."""
     out: list[tuple[int, int, str]] = []
     if "@" in text or "at)" in text or "at]" in text or "at}" in text or "AT)" in text or "AT]" in text:
-        out += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text) if m.end() - m.start() <= LONGEST]
+        out += [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text) if _is_address(m.group())]
     for m in _DIGITS.finditer(text):
         if not _ONLY_DATE.fullmatch(m.group()):
             at = m.start()
@@ -155,12 +166,12 @@ def segments(text: str) -> list[tuple[int, int, str]]:
                 at = j.end() if j else end
     for m in _HOUSE_STARTS.finditer(text):
         h = _HOUSE.match(text, m.start())
-        if h and h.end() - h.start() <= LONGEST:
+        if h:
             out.append((*h.span(), "address"))
             if h.group()[-1] == ".":
                 out.append((h.start(), h.end() - 1, "address"))
     if any(cue in text for cue in _CUES_AFTER):
-        out += [(*h.span(), "address") for h in _AFTER.finditer(text) if h.end() - h.start() <= LONGEST]
+        out += [(*h.span(), "address") for h in _AFTER.finditer(text)]
     for m in _RUN.finditer(text):
         at = m.start()
         out += [(at + a, at + b, "name") for a, b in _name_spans(m.group())]
@@ -201,10 +212,11 @@ def _inner(span: str, kind: str) -> tuple[list[str], str]:
     first = tokens[-1] if comma and len(tokens) > 1 else tokens[0]
     bad = sum(t in NOT_NAMES or any(p in NOT_NAMES for p in t.split("-")) for t in tokens)
     given = first in GIVEN
-    f += [f"n={len(tokens)}", f"bad={min(bad, 2)}", f"given={given}{comma}", f"given={given}n{len(tokens)}", f"firstbad={tokens[0] in NOT_NAMES}", f"lastbad={tokens[-1] in NOT_NAMES}"]
+    n = min(len(tokens), 6)
+    f += [f"particle={bool(_PARTICLE.search(span))}", f"n={n}", f"bad={min(bad, 2)}", f"given={given}{comma}", f"given={given}n{n}", f"firstbad={tokens[0] in NOT_NAMES}", f"lastbad={tokens[-1] in NOT_NAMES}"]
     f += [f"upper={span.isupper()}", f"initial={any(len(t) == 1 for t in tokens[1:-1])}", f"lastinitial={len(tokens[-1]) == 1}", f"othergiven={sum(t in GIVEN for t in tokens) - given}"]
     f.append(f"brk={bool(re.search(r'[.!?][ ]', span)) and not re.search(r'(?<![^ ,])[^0-9a-z_][.][ ]', span)}")
-    return f, f"n{len(tokens)}"
+    return f, f"n{n}"
 
 
 def _outer(kind: str, form: str, left: list[str], right: list[str], edge: str) -> list[str]:
@@ -370,6 +382,12 @@ def _name(rng: random.Random) -> str:
     first, last = rng.choice(_given()).capitalize(), _surname(rng)
     if rng.random() < 0.15:  # names no list has
         first = (rng.choice(_SYLLABLES) + rng.choice("aeio")).capitalize()
+    if rng.random() < 0.07:  # several given names or surnames, with small words between them
+        more = " ".join(rng.choice(_given()).capitalize() for _ in range(rng.choice((0, 0, 1, 2))))
+        small = rng.choice(("", "", "de ", "de la ", "del ", "van ", "van der ", "von ", "da ", "dos ", "di ", "al "))
+        end = rng.choice(("", f" {_surname(rng)}", f" y {_surname(rng)}", f" {_surname(rng)} {_surname(rng)}"))
+        s = " ".join(f"{first} {more} {small}{last}{end}".split())
+        return s.upper() if rng.random() < 0.12 else s
     r = rng.random()
     s = f"{last}, {first}" if r < 0.12 else f"{first} {rng.choice('ABCDEFGHJKLMNPRST')}. {last}" if r < 0.25 else f"{first} {last}"
     return s.upper() if rng.random() < 0.12 else s
@@ -469,6 +487,8 @@ def training_sentences(n: int = 3000, seed: int = 11) -> list[tuple[str, list[tu
                     text += value
                 else:
                     text += part
+        if rng.random() < 0.05 and len(text.upper()) == len(text):  # a form in capitals
+            text = text.upper()
         out.append((text, gold))
     return out
 

@@ -28,6 +28,20 @@ def test_redaction(model):
         assert secret not in clean
 
 
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("The form was completed by Maria de la Cruz Hernandez y Gonzalez.", ["Maria", "Cruz", "Hernandez", "Gonzalez"]),
+        ("Emergency contact is Pieter van der Walstenberg.", ["Pieter", "Walstenberg"]),
+        ("Home address is 474 Upper Brandelworth View Avenue, Apt 17, Hawthornequist 94933-1200. Patient Juan Carlos Luis Fernandorth Ortegalez was seen.", ["474", "Hawthornequist", "Juan", "Ortegalez"]),
+        ("PATIENT: MARIA ORTEGASON. EMERGENCY CONTACT IS PETER DALBERG (SISTER).", ["ORTEGASON", "DALBERG"]),
+    ],
+)
+def test_long_names_and_capitals(model, text, names):
+    clean, _ = redact(text, model)
+    assert not [n for n in names if n in clean], clean
+
+
 @pytest.mark.parametrize("text", ["Specimen 8720-24 was received in good condition.", "Accession 4492572001 was closed after the study.", "Infusion pump 635-13-5592 passed its yearly check.", "ICD-10 J45.9 and CPT 99213.", "Score on the Corvane scale was 48.", "09/17/2024 04:51", "a1b2c3d4e5f6 0f1e2d3c4b5a69788796a5b4c3d2e1f0"])
 def test_other_numbers_stay(model, text):
     assert redact(text, model) == (text, [])
