@@ -214,8 +214,8 @@ def strip_noise_lines(c: str | Column) -> Column:
             has_legal_phrase(s)
             | (s.rlike(L.REASON_ONLY_LINE) & (F.upper(s) == s))
             | s.rlike(L.CONSENT_LINE)
+            | contains_any(low, L.FINAL_NOISE)
             | (low.contains("call") & low.contains("immediately"))
-            | low.contains("thank you for choosing")
             | ((commas >= 4) & contains_any(low, ("risk", "hazard")))
             | (letters(s) < 4)
             | is_vitals_table(s)

@@ -8,6 +8,7 @@ shuffles.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -25,6 +26,37 @@ def _estimate(text: str) -> int:
     return max(1, len(text) // 4) if text else 0
 
 
+def packed_ranges(sizes: list[int], most: int, least: int, overlap: int = 0, strict_order: bool = False) -> list[list[int]]:
+    """Which segments make up each chunk, from their sizes in tokens; see :func:`pack_segments`."""
+    out: list[list[int]] = []
+    held: list[int] = []
+    size = 0
+
+    def tail(items: list[int]) -> list[int]:
+        """The last segments with ``overlap`` tokens, which open the next chunk."""
+        if overlap <= 0:
+            return []
+        size = 0
+        for k in range(len(items) - 1, -1, -1):
+            size += sizes[items[k]]
+            if size >= overlap:
+                return items[k:]
+        return items[:]
+
+    for i, n in enumerate(sizes):
+        alone = n >= most
+        if held and ((size >= least or strict_order) if alone else (size + n > most and size >= least)):
+            out.append(held)
+            held = tail(held)
+            size = sum(sizes[k] for k in held)
+        if alone:
+            out.append([i])
+        else:
+            held.append(i)
+            size += n
+    return [*out, held] if held else out
+
+
 def pack_segments(segments: list[tuple[str, int]], most: int, least: int, overlap: int = 0, strict_order: bool = False) -> list[tuple[int, str, int, int, int]]:
     """Greedy packing of (segment, page) pairs: (index, text, first page, last page, tokens).
 
@@ -34,41 +66,14 @@ def pack_segments(segments: list[tuple[str, int]], most: int, least: int, overla
     tokens (``strict_order``: always).  With ``overlap`` a chunk starts with the
     last segments of its predecessor that have as many tokens.
     """
-    out: list[tuple[int, str, int, int, int]] = []
-    held: list[tuple[str, int, int]] = []  # segment, page, tokens
-
-    def emit(items: list[tuple[str, int, int]]) -> None:
-        pages = [p for _, p, _ in items]
-        text = " ".join(s for s, _, _ in items).strip()
+    sizes = [_estimate(text) for text, _ in segments]
+    made = []
+    for own in packed_ranges(sizes, most, least, overlap, strict_order):
+        text = " ".join(segments[i][0] for i in own).strip()
         if text:
-            out.append((len(out), text, min(pages), max(pages), sum(n for _, _, n in items)))
-
-    def close(keep: int) -> None:
-        emit(held)
-        tail, total = len(held), 0
-        while keep > 0 and tail > 0 and total < keep:
-            tail -= 1
-            total += held[tail][2]
-        del held[: tail if keep > 0 else len(held)]
-
-    total = lambda: sum(n for _, _, n in held)
-    size = 0
-    for text, page in segments:
-        n = _estimate(text)
-        if n >= most:
-            if held and (size >= least or strict_order):
-                close(overlap)
-                size = total()
-            emit([(text, page, n)])
-            continue
-        if held and size + n > most and size >= least:
-            close(overlap)
-            size = total()
-        held.append((text, page, n))
-        size += n
-    if held:
-        close(0)
-    return out
+            pages = [segments[i][1] for i in own]
+            made.append((len(made), text, min(pages), max(pages), sum(sizes[i] for i in own)))
+    return made
 
 
 def pack_pages(df: DataFrame, pages: str, keep: list[str], max_tokens: int = 4000, min_tokens: int | None = None, overlap_tokens: int = 0, strict_order: bool = False) -> DataFrame:
@@ -91,24 +96,22 @@ def pack_pages(df: DataFrame, pages: str, keep: list[str], max_tokens: int = 400
     return rows.select(*keep, F.inline(pack("_segments")))
 
 
+_BLANK = re.compile(r"[ \n\t]")
+
+
 def window_cuts(text: str, target: int, most: int, overlap: int) -> list[tuple[int, int]]:
     """Windows of ``target`` characters, lengthened to the next blank (``most`` at
     the most), each starting ``overlap`` before the end of the one before."""
-    if not text:
-        return []
-    if len(text) <= most:
-        return [(0, len(text))]
-    out, lo = [], 0
-    while lo < len(text):
-        hi = min(lo + target, len(text))
-        while hi < len(text) and hi - lo < most and text[hi] not in " \n\t":
-            hi += 1
-        if text[lo:hi].strip():
-            out.append((lo, hi))
-        if hi >= len(text):
-            break
-        lo = hi - overlap
-    return out
+    whole = len(text)
+    if whole <= most:
+        return [(0, whole)] if text else []
+    ends = [0]
+    while ends[-1] < whole:
+        start = ends[-1] - overlap if len(ends) > 1 else 0
+        blank = _BLANK.search(text, start + target, start + most)
+        ends.append(min(whole, blank.start() if blank else start + most if start + target < whole else whole))
+    starts = [0, *(e - overlap for e in ends[1:-1])]
+    return [(a, b) for a, b in zip(starts, ends[1:]) if not text[a:b].isspace()]
 
 
 def word_cuts(text: str, target: int, most: int) -> list[str]:

@@ -25,7 +25,7 @@ def ranked_lines(df: DataFrame, doc: list[str], text: str, limit: int, keywords:
     for needed in (required, keywords):  # cheap and selective, so first
         if needed:
             at = at.filter(X.contains_any(low, tuple(k.lower() for k in needed)))
-    at = at.filter(~X.contains_any(low, L.UNWANTED_TOKENS) & ~(low.contains("call") & low.contains("immediately")) & ~X.is_noise_line("line", allow_numeric))
+    at = at.filter(~X.contains_any(low, L.UNWANTED_TOKENS) & ~X.contains_any(low, L.FINAL_NOISE) & ~(low.contains("call") & low.contains("immediately")) & ~X.is_noise_line("line", allow_numeric))
     at = at.withColumn("key", X.line_key("line")).filter("key != ''")
     scored = at.withColumn("score", F.round(X.line_score("line", tuple(k.lower() for k in keywords)), 6))
     best = scored.groupBy(*doc, "key").agg(F.min(F.struct((-F.col("score")).alias("n"), "pos", "line")).alias("b"))

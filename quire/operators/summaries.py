@@ -70,32 +70,104 @@ def layout_text(sections: Column) -> Column:
     return F.array_join(F.transform(full, lambda s: F.concat(s.title, F.lit(":\n"), X.strip(s.content))), "\n\n")
 
 
-def section_quality(sections: DataFrame, doc: list[str], key_slugs: tuple[str, ...] = ("provider_seen", "reason_for_visit", "clinical_findings", "treatment_plan", "diagnoses", "healthcare_providers")) -> DataFrame:
-    """Per document: sections with content of the key ones, admin-heavy ones, clinically dense ones and the share of admin tokens.
+def section_items(content: Column, items: Column) -> Column:
+    """The items a section lists, else its lines that aren't headings, without list marks and blanks."""
+    tidy = lambda x: X.strip_chars(x, "[ -]")
+    listed = F.transform(F.filter(F.coalesce(items, F.array().cast("array<string>")), lambda x: X.strip(x) != ""), tidy)
+    own = F.transform(F.filter(F.transform(X.lines(content), X.strip), lambda x: (x != "") & ~x.rlike(L.HEADING_ONLY)), tidy)
+    return F.when(F.size(listed) > 0, listed).otherwise(F.filter(own, lambda x: x != ""))
 
-    sections: doc, slug, content.  Slugs are compared in plain spelling.
+
+def _enough_items(items: Column, hint: str) -> Column:
+    """Whether some items, and of two or more at least half, show what the section is about and no admin phrase."""
+    good = F.size(F.filter(items, lambda x: x.rlike(hint) & ~X.contains_any(F.lower(x), L.SUMMARY_ADMIN_PHRASES)))
+    return (good > 0) & ((F.size(items) < 2) | (good * 2 >= F.size(items)))
+
+
+def section_quality(sections: DataFrame, doc: list[str], order: list[str], aliases: dict[str, str] | None = None) -> DataFrame:
+    """Whether a document's sections say enough that is clinical.
+
+    sections: doc, slug, content, items (array) and order columns; of sections
+    with one slug the last by ``order`` counts.  Slugs are compared in plain
+    spelling, after ``aliases``.  Columns: doc, passed, missing_key_sections,
+    admin_dominant_sections, mixed_sections and reasons (joined by commas),
+    clinically_dense_sections, admin_token_ratio.
     """
-    t = F.coalesce(F.col("content"), F.lit(""))
-    toks = X.word_tokens(t)
     slug = F.trim(F.regexp_replace(F.lower("slug"), "[^a-z0-9]+", "_"), F.lit("_"))
-    rows = sections.select(
-        *doc,
-        slug.alias("_slug"),
-        (~F.coalesce(X.is_section_placeholder(t), F.lit(True))).alias("_full"),
-        F.size(toks).alias("_tokens"),
-        F.size(F.filter(toks, lambda x: x.isin(*L.SUMMARY_ADMIN_TOKENS))).alias("_admin"),
-        F.size(F.filter(toks, lambda x: x.isin(*L.CLINICAL_TOKENS))).alias("_clinical"),
-        X.occurrences(F.lower(t), L.SUMMARY_ADMIN_PHRASES).alias("_phrases"),
+    for name, other in (aliases or {}).items():
+        slug = F.when(slug == name, other).otherwise(slug)
+    last = F.max_by(F.struct(X.strip(F.coalesce("content", F.lit(""))).alias("content"), "items"), F.struct(*order)).alias("s")
+    own = sections.select(*doc, slug.alias("_slug"), "content", "items", *order).groupBy(*doc, "_slug").agg(last)
+    t = F.col("s.content")
+    tokens = X.word_tokens(t)
+    rows = own.select(
+        *doc, "_slug", t.alias("_t"), (F.col("_slug").isin(*L.QUALITY_SLUGS) & ~F.coalesce(X.is_section_placeholder(t), F.lit(True)) & (F.size(tokens) > 0)).alias("_there"), section_items(t, F.col("s.items")).alias("_items"),
+        X.let(tokens, lambda k: F.struct(F.size(k).alias("n"), F.size(F.filter(k, lambda x: x.isin(*L.SUMMARY_ADMIN_TOKENS))).alias("admin"), F.size(F.filter(k, lambda x: x.isin(*L.CLINICAL_TOKENS))).alias("clinical"), F.size(F.filter(k, lambda x: x.isin(*L.REASON_TOKENS))).alias("reason"))).alias("_k"),
+        (X.occurrences(F.lower(t), L.SUMMARY_ADMIN_PHRASES) * 3).alias("_phrases"),
+    )
+    rows = rows.select(*doc, "_slug", "_t", "_there", "_items", F.col("_k.n").alias("_n"), F.col("_k.clinical").alias("_clinical"), F.col("_k.reason").alias("_reason"), (F.col("_k.admin") + F.col("_phrases")).alias("_admin"))
+    plain = reduce(lambda x, p: F.regexp_replace(x, p, "$1$2"), L.DEGREES, F.col("_t"))
+    provider = F.col("_t").rlike(L.PROVIDER_HINT) & ~F.col("_t").rlike(L.MEDICATION_HINT) & (F.col("_admin") < 2) & (F.regexp_count(plain, F.lit("[.!?]")) <= 1) & (F.col("_n") <= 18)
+    n_lines = F.size(F.filter(X.lines(F.col("_t")), lambda x: X.strip(x) != ""))
+    reason = (F.col("_admin") < 3) & ~X.contains_any(F.lower("_t"), L.REASON_ADMIN) & (F.col("_reason") >= 1) & ~((n_lines > 6) & (F.col("_reason") < 3))
+    good = (
+        F.when(F.col("_slug") == "provider_seen", provider)
+        .when(F.col("_slug") == "reason_for_visit", reason)
+        .when(F.col("_slug") == "diagnoses", _enough_items(F.col("_items"), L.DIAGNOSIS_HINT))
+        .when(F.col("_slug") == "medications", _enough_items(F.col("_items"), L.MEDICATION_HINT))
     )
-    admin = (F.col("_admin") + 2 * F.col("_phrases")) > F.col("_clinical")
-    key = F.col("_slug").isin(*key_slugs) & F.col("_full")
-    out = rows.groupBy(*doc).agg(
-        F.count_distinct(F.when(key, F.col("_slug"))).alias("key_sections"),
-        F.count_if(F.col("_full") & admin & (F.col("_admin") + F.col("_phrases") > 0)).alias("admin_sections"),
-        F.count_if(F.col("_full") & (F.col("_clinical") >= 2)).alias("dense_sections"),
-        F.round(F.sum("_admin") / F.greatest(F.sum("_tokens"), F.lit(1)), 3).alias("admin_token_ratio"),
+    dense = F.coalesce(good, (F.col("_clinical") >= 2) & (F.col("_admin") <= 1))
+    judged = rows.select(*doc, "_slug", "_there", "_n", "_admin", ((F.col("_admin") >= 4) & (F.col("_admin") / F.greatest("_n", F.lit(1)) >= 0.12)).alias("_dominant"), (~F.coalesce(good, F.lit(True))).alias("_mixed"), dense.alias("_dense"))
+    slugs = lambda test: F.sort_array(F.collect_set(F.when(F.col("_there") & test, F.col("_slug"))))
+    there = lambda c: F.when(F.col("_there"), F.col(c))
+    out = judged.groupBy(*doc).agg(
+        F.array_except(F.array(*(F.lit(s) for s in L.QUALITY_SLUGS)), F.collect_set(there("_slug"))).alias("_missing"),
+        slugs(F.col("_dominant")).alias("_dominant"),
+        slugs(F.col("_mixed")).alias("_mixed"),
+        F.count_if(F.col("_there") & F.col("_dense")).alias("clinically_dense_sections"),
+        F.round(F.coalesce(F.sum(there("_admin")), F.lit(0)) / F.greatest(F.coalesce(F.sum(there("_n")), F.lit(0)), F.lit(1)), 3).alias("admin_token_ratio"),
     )
-    return out.withColumn("missing_key_sections", F.lit(len(key_slugs)) - F.col("key_sections"))
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.size("_missing") >= 3, F.lit("too_many_missing_key_sections")),
+            F.when((F.size("_dominant") > 0) | (F.col("admin_token_ratio") >= 0.12), F.lit("boilerplate_dominant_sections")),
+            F.when(F.size("_mixed") > 0, F.lit("mixed_section_content")),
+            F.when(F.col("clinically_dense_sections") < 3, F.lit("clinical_information_density_low")),
+        )
+    )
+    join = lambda c: F.array_join(c, ",")
+    return out.withColumn("_reasons", reasons).select(
+        *doc, (F.size("_reasons") == 0).alias("passed"), join("_missing").alias("missing_key_sections"), join("_dominant").alias("admin_dominant_sections"), join("_mixed").alias("mixed_sections"), "clinically_dense_sections", "admin_token_ratio", join("_reasons").alias("reasons")
+    )
+
+
+def _reasons(checks: dict[str, Column]) -> Column:
+    """struct<passed, reason>: the names of the checks that don't hold."""
+    failed = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items())))
+    return X.let(failed, lambda f: F.struct((F.size(f) == 0).alias("passed"), F.array_join(f, ",").alias("reason")))
+
+
+def full_verdict(source_chars: Column, summary: Column, pages: Column, alignment: Column, quality_passed: Column, listed: Column | None = None, least_alignment: float = 0.8) -> Column:
+    """struct<passed, reason>: length against the source, three headers and a list (for a hundred pages also paragraphs), alignment and quality.
+
+    listed: whether the summary has list fields beside its text.
+    """
+    low = F.lower(summary)
+    gate = length_gate(source_chars, F.length(X.strip(summary)), pages)
+    has_list = summary.rlike(r"\n\s*[-*]\s+") | summary.rlike(r"\n\s*\d+\.\s+")
+    structured = (X.phrases_present(low, L.HEADER_TOKENS) >= 3) & (has_list if listed is None else has_list | listed)
+    paragraphs = F.size(F.filter(F.split(summary, "\n\n"), lambda p: X.strip(p) != ""))
+    long_enough = (F.coalesce(pages, F.lit(0)) < 100) | (paragraphs >= 3) | (F.length(X.strip(summary)) >= 1000)
+    return _reasons({"length_below_threshold": gate.ok, "structure_requirements_not_met": structured & long_enough, "content_alignment_low": alignment >= least_alignment, "summary_quality_low": quality_passed})
+
+
+def simple_verdict(source_chars: Column, summary: Column, quality_passed: Column, floor: int = 300, ratio: float = 0.005) -> Column:
+    """struct<passed, reason>: length, absolutely and against the source, fewer than two empty words and no placeholder, and quality."""
+    n = F.length(X.strip(summary))
+    low = F.lower(X.strip(summary))
+    hits = sum((((F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / len(k)).cast("int") for k in L.INVALID_KEYWORDS), F.lit(0))
+    placeholder = F.substring(X.strip(summary), 1, 32).rlike(r"(?i)^(?:n/?a|no data|none|empty|tbd)[\s.\-]*$")
+    return _reasons({"length_ok": n >= floor, "semantic_ok": (hits < 2) & ~placeholder, "ratio_ok": (source_chars > 0) & (n / F.greatest(source_chars, F.lit(1)) >= ratio), "summary_quality_low": quality_passed})
 
 
 def length_gate(source_chars: Column, summary_chars: Column, pages: Column, min_ratio: float = 0.01, base: int = 200, long_base: int = 600, least: float = 0.75) -> Column:
@@ -106,12 +178,6 @@ def length_gate(source_chars: Column, summary_chars: Column, pages: Column, min_
     return F.struct(target.cast("bigint").alias("target"), F.round(score, 3).alias("length_score"), (score >= least).alias("ok"))
 
 
-def simple_gate(source_chars: Column, text: Column, floor: int = 300, ratio: float = 0.005) -> Column:
-    """Whether a summary is long enough, absolutely and against its source, and no placeholder."""
-    n = F.length(X.strip(text))
-    return (n >= floor) & (n / F.greatest(source_chars, F.lit(1)) >= ratio) & ~X.is_placeholder(text)
-
-
 def contract_issues(slugs: Column, text: Column, required: tuple[str, ...], forbidden: tuple[str, ...] = ()) -> Column:
     """What is wrong with a structured summary: missing slugs and headers that leaked into its text."""
     missing = F.transform(F.array_except(F.array(*(F.lit(r) for r in required)), slugs), lambda s: F.concat(F.lit("missing:"), s))

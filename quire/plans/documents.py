@@ -138,7 +138,7 @@ def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _COMMAS = "(length(lower(s)) - length(replace(lower(s), ',', '')))"
 _NOISE_LINE_SQL = f"""({_LEGAL('s')} or (regexp_matches(s, {q(L.REASON_ONLY_LINE)}) and upper(s) = s) or regexp_matches(s, {q(L.CONSENT_LINE)})
-    or (contains(lower(s), 'call') and contains(lower(s), 'immediately')) or contains(lower(s), 'thank you for choosing')
+    or {_any('lower(s)', L.FINAL_NOISE)} or (contains(lower(s), 'call') and contains(lower(s), 'immediately'))
     or ({_COMMAS} >= 4 and {_any('lower(s)', ('risk', 'hazard'))}) or {_letters('s')} < 4 or {_VITALS_TABLE('s')})"""
 
 
@@ -354,7 +354,7 @@ _NOISY = f"""({_count('s', ('=',))} >= 5 or length(s) > 340 or {_LEGAL('s')} or
 @query(f"""with l as (select doc_id, (u.pos - 1)::int as pos, {_strip('u.line')} as s from (select doc_id, unnest(list_transform({_lines('text')}, lambda x, i: {{'pos': i, 'line': x}})) as u from documents where text is not null)),
            k as (select doc_id, pos, s, trim({_replace('lower(s)', '[^a-z0-9]+', ' ')}) as key from l where s <> ''),
            f as (select *, round({_present('lower(s)', _KEYWORDS)} * 6 + {_letters('s')} / 140 - {_digits('s')} * 0.2 - greatest(0, length(s) - 220) / 160 - case when {_any('lower(s)', ('risk', 'hazard', 'complication'))} then 4 else 0 end
-                 - case when {_any('lower(s)', ('instruction', 'education'))} then 3 else 0 end, 6) as score from k where key <> '' and not {_NOISY} and not {_any('lower(s)', L.UNWANTED_TOKENS)} and not (contains(lower(s), 'call') and contains(lower(s), 'immediately')) and {_any('lower(s)', _KEYWORDS)}),
+                 - case when {_any('lower(s)', ('instruction', 'education'))} then 3 else 0 end, 6) as score from k where key <> '' and not {_NOISY} and not {_any('lower(s)', L.UNWANTED_TOKENS)} and not {_any('lower(s)', L.FINAL_NOISE)} and not (contains(lower(s), 'call') and contains(lower(s), 'immediately')) and {_any('lower(s)', _KEYWORDS)}),
            g as (select *, row_number() over (partition by doc_id, key order by score desc, pos) as rk from f),
            h as (select *, row_number() over (partition by doc_id order by score desc, pos) as rn from g where rk = 1)
            select doc_id, pos, s as line, score from h where rn <= 5""")
@@ -495,20 +495,59 @@ def diagnosis_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("job_id", *(F.array_join(f, "; ").alias(f) for f in names))
 
 
-_KEY_SLUGS = ("provider_seen", "reason_for_visit", "clinical_findings", "treatment_plan", "diagnoses", "healthcare_providers")
 _IN = lambda words: "(" + ", ".join(q(w) for w in words) + ")"
-
-
-@query(f"""with a as (select job_id, trim({_replace('lower(slug)', '[^a-z0-9]+', '_')}, '_') as slug, coalesce(content, '') as t from summary_sections),
-           b as (select job_id, slug, {_replace('lower(' + _strip('t') + ')', '[.]+$', '')} as low, {_tokens('t')} as k, lower(t) as l from a),
-           c as (select job_id, slug, not (low = '' or low in {_IN(L.SECTION_PLACEHOLDERS)}) as f, len(k) as n, len(list_filter(k, lambda x: x in {_IN(L.SUMMARY_ADMIN_TOKENS)})) as ad,
-                 len(list_filter(k, lambda x: x in {_IN(L.CLINICAL_TOKENS)})) as cl, {_count('l', L.SUMMARY_ADMIN_PHRASES)} as ph from b),
-           d as (select job_id, count(distinct case when f and slug in {_IN(_KEY_SLUGS)} then slug end) as key_sections, count_if(f and ad + 2 * ph > cl and ad + ph > 0) as admin_sections, count_if(f and cl >= 2) as dense_sections,
-                 round(sum(ad) / greatest(sum(n), 1), 3) as admin_token_ratio from c group by job_id)
-           select *, 6 - key_sections as missing_key_sections from d""")
+_DEGREES = lambda e: _chain(e, tuple((p, r"\1\2") for p in L.DEGREES))
+_DASHES = lambda e: _replace(e, "^[ -]+|[ -]+$", "")
+_GOOD_ITEMS = lambda hint: f"len(list_filter(items, lambda x: regexp_matches(x, {q(hint)}) and not {_any('lower(x)', L.SUMMARY_ADMIN_PHRASES)}))"
+_ENOUGH = lambda hint: f"({_GOOD_ITEMS(hint)} > 0 and (len(items) < 2 or {_GOOD_ITEMS(hint)} * 2 >= len(items)))"
+_QUALITY_SQL = f"""with a as (select job_id, trim({_replace('lower(slug)', '[^a-z0-9]+', '_')}, '_') as s0, coalesce(content, '') as c, extra, ordinal, section_id from summary_sections),
+           a1 as (select *, case when s0 = 'treatment_plan' then 'treatment_follow_up_plan' else s0 end as slug from a),
+           a2 as (select job_id, slug, {_strip('c')} as t, extra, row_number() over (partition by job_id, slug order by ordinal desc nulls last, section_id desc) as rn from a1),
+           b as (select job_id, slug, t, {_replace('lower(' + _strip('t') + ')', '[.]+$', '')} as low, {_tokens('t')} as k, lower(t) as l,
+                 list_transform(list_filter(coalesce(extra['items'], []), lambda x: {_strip('x')} <> ''), lambda x: {_DASHES('x')}) as given,
+                 list_filter(list_transform(list_filter(list_transform({_lines('t')}, lambda x: {_strip('x')}), lambda x: x <> '' and not regexp_matches(x, {q(L.HEADING_ONLY)})), lambda x: {_DASHES('x')}), lambda x: x <> '') as own from a2 where rn = 1),
+           c as (select *, case when len(given) > 0 then given else own end as items, slug in {_IN(L.QUALITY_SLUGS)} and not (low = '' or low in {_IN(L.SECTION_PLACEHOLDERS)}) and len(k) > 0 as there, len(k) as n,
+                 len(list_filter(k, lambda x: x in {_IN(L.SUMMARY_ADMIN_TOKENS)})) + 3 * {_count('l', L.SUMMARY_ADMIN_PHRASES)} as admin, len(list_filter(k, lambda x: x in {_IN(L.CLINICAL_TOKENS)})) as clinical,
+                 len(list_filter(k, lambda x: x in {_IN(L.REASON_TOKENS)})) as reason, len(list_filter({_lines('t')}, lambda x: {_strip('x')} <> '')) as nl from b),
+           d as (select *, case slug when 'provider_seen' then regexp_matches(t, {q(L.PROVIDER_HINT)}) and not regexp_matches(t, {q(L.MEDICATION_HINT)}) and admin < 2 and len(regexp_extract_all({_DEGREES('t')}, '[.!?]')) <= 1 and n <= 18
+                 when 'reason_for_visit' then admin < 3 and not {_any('l', L.REASON_ADMIN)} and reason >= 1 and not (nl > 6 and reason < 3)
+                 when 'diagnoses' then {_ENOUGH(L.DIAGNOSIS_HINT)} when 'medications' then {_ENOUGH(L.MEDICATION_HINT)} end as good from c),
+           e as (select job_id, list(slug) filter (there) as have, coalesce(list_sort(list(slug) filter (there and admin >= 4 and admin / greatest(n, 1) >= 0.12)), []) as dom, coalesce(list_sort(list(slug) filter (there and not coalesce(good, true))), []) as mix,
+                 count_if(there and coalesce(good, clinical >= 2 and admin <= 1)) as clinically_dense_sections, round(coalesce(sum(admin) filter (there), 0) / greatest(coalesce(sum(n) filter (there), 0), 1), 3) as admin_token_ratio from d group by job_id),
+           f as (select *, list_filter([{', '.join(q(x) for x in L.QUALITY_SLUGS)}], lambda x: not list_contains(coalesce(have, []), x)) as mis from e),
+           g as (select *, list_filter([case when len(mis) >= 3 then 'too_many_missing_key_sections' end, case when len(dom) > 0 or admin_token_ratio >= 0.12 then 'boilerplate_dominant_sections' end, case when len(mix) > 0 then 'mixed_section_content' end,
+                 case when clinically_dense_sections < 3 then 'clinical_information_density_low' end], lambda x: x is not null) as r from f)
+           select job_id, len(r) = 0 as passed, array_to_string(mis, ',') as missing_key_sections, array_to_string(dom, ',') as admin_dominant_sections, array_to_string(mix, ',') as mixed_sections, clinically_dense_sections, admin_token_ratio, array_to_string(r, ',') as reasons from g"""
+
+
+@query(_QUALITY_SQL)
 def section_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key, admin-heavy and clinically dense sections of each job."""
-    return summaries.section_quality(table(spark, sf_dir, "summary_sections"), ["job_id"])
+    """Whether each job's sections say enough that is clinical, and why not."""
+    d = table(spark, sf_dir, "summary_sections").select("job_id", "slug", "content", F.try_element_at("extra", F.lit("items")).alias("items"), "ordinal", "section_id")
+    return summaries.section_quality(d, ["job_id"], ["ordinal", "section_id"], {"treatment_plan": "treatment_follow_up_plan"})
+
+
+_SECTION_TEXT = "title || ':' || chr(10) || content"
+
+
+@query(f"""with s as (select job_id, string_agg({_SECTION_TEXT}, chr(10) || chr(10) order by ordinal nulls first, section_id) as t from summary_sections where content is not null and title is not null group by job_id),
+           c as (select job_id, sum(length(text)) as n, max(total_pages) as pages from ocr_chunks where text is not null group by job_id), y as ({_QUALITY_SQL}), al as (select job_id, alignment from ({ORACLE_SQL['job_alignment']})),
+           z as (select s.job_id, t, n, pages, coalesce(alignment, 0.0) as alignment, coalesce(passed, false) as ok, length({_strip('t')}) as size, lower(t) as l from s join c using (job_id) left join al using (job_id) left join y using (job_id)),
+           r as (select *, greatest(floor(n * 0.01)::bigint, case when coalesce(pages, 0) > 50 or n > 100000 then 600 else 200 end) as target,
+                 {_present('l', L.HEADER_TOKENS)} >= 3 and (regexp_matches(t, '\n\s*[-*]\s+') or regexp_matches(t, '\n\s*\d+\.\s+')) and (coalesce(pages, 0) < 100 or len(list_filter(string_split(t, chr(10) || chr(10)), lambda p: {_strip('p')} <> '')) >= 3 or size >= 1000) as st,
+                 {' + '.join(f"((length(lower({_strip('t')})) - length(replace(lower({_strip('t')}), {q(k)}, ''))) // {len(k)})" for k in L.INVALID_KEYWORDS)} as hits from z),
+           x as (select *, list_filter([case when least(size / target, 1.0) < 0.75 then 'length_below_threshold' end, case when not st then 'structure_requirements_not_met' end, case when alignment < 0.8 then 'content_alignment_low' end, case when not ok then 'summary_quality_low' end], lambda v: v is not null) as a,
+                 list_filter([case when size < 300 then 'length_ok' end, case when hits >= 2 or regexp_matches(substr({_strip('t')}, 1, 32), '(?i)^(?:n/?a|no data|none|empty|tbd)[\s.\-]*$') then 'semantic_ok' end, case when not (n > 0 and size / greatest(n, 1) >= 0.005) then 'ratio_ok' end, case when not ok then 'summary_quality_low' end], lambda v: v is not null) as b from r)
+           select job_id, len(a) = 0 as passed, array_to_string(a, ',') as reason, len(b) = 0 as passed_simple, array_to_string(b, ',') as reason_simple from x""")
+def summary_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the sections of each job make a summary of its text: the full and the simple rules."""
+    rows = table(spark, sf_dir, "summary_sections").filter("content is not null and title is not null").withColumn("part", F.concat("title", F.lit(":\n"), "content"))
+    parts = summaries.merge_parts(rows, "job_id", ["ordinal", "section_id"], "part", "\n\n").select("job_id", F.col("merged").alias("t"))
+    source = table(spark, sf_dir, "ocr_chunks").filter("text is not null").groupBy("job_id").agg(F.sum(F.length("text")).alias("n"), F.max("total_pages").alias("pages"))
+    joined = parts.join(source, "job_id").join(job_alignment(spark, sf_dir).select("job_id", "alignment"), "job_id", "left").join(section_quality(spark, sf_dir).select("job_id", F.col("passed").alias("ok")), "job_id", "left")
+    full = summaries.full_verdict(F.col("n"), F.col("t"), F.col("pages"), F.coalesce("alignment", F.lit(0.0)), F.col("ok"))
+    simple = summaries.simple_verdict(F.col("n"), F.col("t"), F.col("ok"))
+    return joined.select("job_id", full.alias("f"), simple.alias("s")).select("job_id", "f.passed", "f.reason", F.col("s.passed").alias("passed_simple"), F.col("s.reason").alias("reason_simple"))
 
 
 @query(f"""with c as (select job_id, sum(length(text)) as n, max(total_pages) as pages from ocr_chunks where text is not null group by job_id),
