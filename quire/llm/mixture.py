@@ -5,7 +5,7 @@ documents are taken in key order until the source's token budget is used up; a
 budget beyond one pass over the source starts another one.
 
 Scale: keys are uniform, so their range is cut into equal bins without looking
-at the data, and (source, bin) groups stay even when one source has a third of
+at the data (by the number of documents only), and (source, bin) groups stay even when one source has a third of
 all rows.  Prefix sums are formed over bin totals (sources x bins rows) and then
 inside each bin, so no task ever orders a whole source.
 """
@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Bins of the key range of each source.
-BINS = 1024
+from quire.scratch import stage
+
+#: Bins of the key range of each source, at least, and documents of one source in a bin, about and at most.
+BINS, BIN_ROWS = 1024, 1 << 18
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to byte-level BPE vocabularies of this kind (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -120,12 +122,12 @@ def draw_mixture(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", se
     # the targets are one row a source: the size estimate of the scan decides on the join
     keyed = keyed.join(listed.select("source"), "source", "left_semi")
     unit = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40))
-    keyed = keyed.withColumn("u", unit).withColumn("bin", F.expr(f"cast(u div {(1 << 40) // BINS} as int)"))
+    # more documents, more bins: what is sorted in a task keeps its size
+    n_bins = max(BINS, 1 << max(0, docs.count() // BIN_ROWS).bit_length())
+    keyed = keyed.withColumn("u", unit).withColumn("bin", F.expr(f"cast(u div {(1 << 40) // n_bins} as int)"))
     bins = keyed.groupBy("source", "bin").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # at most sources x BINS rows: the totals are read once and planned on the driver
-    from quire.scratch import stage
-
+    # one row a source and bin: the totals are read once and planned on the driver
     bins = stage(bins, "mixture-bins")
     totals = bins.groupBy("source").agg(F.sum("t").alias("available"), F.sum("n").alias("documents"))
     facts = [
