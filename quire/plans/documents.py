@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire import scratch
 from quire.functions import keys as K
 from quire.functions import lexicons as L
+from quire.functions import mentions as N
 from quire.functions import redaction as R
 from quire.functions import text as X
 from quire.operators import chunks, evidence, jobs, pages, pipeline, ranking, summaries
@@ -197,6 +199,21 @@ def vitals_and_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", X.vitals_sentence("text").alias("vitals"), F.array_join(X.complaint_labels("text"), "; ").alias("complaints"))
 
 
+_PROVIDER_TEXT = f"trim({_replace(_replace('line', _CTRL, ' '), _S + '+', ' ')})"
+_EDGES = lambda e: _replace(e, "^[ ,;:-]+|[ ,;:-]+$", "")
+_PROVIDER_LINE = _EDGES(_replace(_EDGES(_PROVIDER_TEXT), r"(?i)^(?:provider(?:'s)?\s+signatures?:?|provider:)\s*", ""))
+_NAME_WORDS = f"list_filter(regexp_extract_all(lower(s), '[a-z][a-z''.-]*'), lambda t: not list_contains([{', '.join(q(w) for w in N.PROVIDER_AFFIXES)}], replace(t, '.', '')))"
+
+
+@query(f"""with l as (select summary_id, unnest(string_split(providers_list, chr(10))) as line from test_summaries where providers_list is not null), k as (select *, {_PROVIDER_LINE} as s from l), n as (select *, {_NAME_WORDS} as w from k)
+           select summary_id, line, length(s) > 0 and length(s) <= 80 and not regexp_matches(s, '[0-9:/|()]') and not {_LEGAL('s')} and not {_any('lower(s)', N.PROVIDER_ADMIN)} and regexp_matches(s, {q(N.PROVIDER_NAME)}) and len(w) between 2 and 4
+                  and not list_has_any(w, [{', '.join(q(w) for w in N.PROVIDER_NOT_NAMES)}]) as is_name from n""")
+def provider_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines of providers' lists are names of people."""
+    d = table(spark, sf_dir, "test_summaries").filter("providers_list is not null").select("summary_id", F.explode(F.split("providers_list", "\n")).alias("line"))
+    return d.select("summary_id", "line", N.is_provider_name("line").alias("is_name"))
+
+
 @query()
 def extracted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the deterministic extractor finds in each document."""
@@ -286,24 +303,38 @@ def native_text_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.native_metrics(_pages(spark, sf_dir), ["sample_id"])
 
 
-@query(f"""with a as (select doc_id, text as t, list_filter(list_transform({_lines('text')}, lambda x: {_strip('x')}), lambda x: x <> '') as f from documents),
-           b as (select doc_id, t, case when len(f) <= 4 then flatten(list_transform(f, lambda y: {_split_sentences('y')})) else f end as l, {_PARAGRAPHS('t')} as par from a),
-           c as (select doc_id, t, l, len(l) as n, greatest(len(l), 1) as m, array_to_string(l, ' ') as j, par,
+def _routing_sql(source: str, key: str, pages: str, mean: str = "round(coalesce(words, 0) / m, 2)") -> str:
+    return f"""with a as (select {key}, {pages} as pages, text as t, list_filter(list_transform({_lines('text')}, lambda x: {_strip('x')}), lambda x: x <> '') as f from {source}),
+           b as (select {key}, pages, t, case when len(f) <= 4 then flatten(list_transform(f, lambda y: {_split_sentences('y')})) else f end as l, {_PARAGRAPHS('t')} as par from a),
+           c as (select {key}, pages, t, l, len(l) as n, greatest(len(l), 1) as m, array_to_string(l, ' ') as j, par,
                  len(list_filter(l, lambda s: {_LEGAL('s')} or regexp_matches(s, {q(L.CONSENT_LINE)}) or regexp_matches(s, {q(L.REASON_ONLY_LINE)}) or {_VITALS_TABLE('s')})) as noise,
                  len(list_filter(l, lambda s: len(string_split_regex(s, '\\s+')) <= 2)) as short, list_sum(list_transform(l, lambda s: len(string_split_regex(s, '\\s+')))) as words,
                  len(regexp_extract_all(t, {q(L.REPEATED_MARKERS)})) as mk, lower(t) as low from b),
-           d as (select doc_id, 0 as page_count, case when par = '' then 0 else greatest(1, ceil(length(par) / 4)::int, ceil(len(list_filter(string_split_regex(par, '\\s+'), lambda w: w <> '')) * 11 / 10)::int) end as estimated_tokens,
+           d as (select {key}, pages::int as page_count, case when par = '' then 0 else greatest(1, ceil(length(par) / 4)::int, ceil(len(list_filter(string_split_regex(par, '\\s+'), lambda w: w <> '')) * 11 / 10)::int) end as estimated_tokens,
                  n::int as line_count, noise::int as noise_line_count, round(noise / m, 3) as noise_ratio, round(short / m, 3) as short_line_ratio, round({_letters('j')} / greatest({_nonspace('j')}, 1), 3) as alpha_ratio,
-                 round(coalesce(words, 0) / m, 2) as average_words_per_line, mk::int as repeated_metadata_markers,
-                 (({_count('low', ('reason for visit:',))} >= 3)::int + ({_count('low', ('patient name:',))} >= 2)::int) as mixed_packet_signals from c),
+                 {mean} as average_words_per_line, mk::int as repeated_metadata_markers,
+                 ((mk >= 6 and pages >= 3)::int + ({_count('low', ('reason for visit:',))} >= greatest(3, pages + 1))::int + ({_count('low', ('patient name:',))} >= greatest(2, pages))::int) as mixed_packet_signals from c),
            e as (select *, line_count > 0 and noise_ratio <= 0.35 and short_line_ratio <= 0.45 and alpha_ratio >= 0.55 and mixed_packet_signals = 0 as quality_ok from d)
-           select *, case when estimated_tokens > 120000 or mixed_packet_signals > 0 or not quality_ok then 'chunked' else 'one_shot' end as strategy from e""")
+           select *, case when estimated_tokens > 120000 or page_count > 80 or mixed_packet_signals > 0 or not quality_ok then 'chunked' else 'one_shot' end as strategy from e"""
+
+
+@query(_routing_sql("documents", "doc_id", "0"))
 def document_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of each document and how it would be summarised."""
     m = pages.routing_metrics(_documents(spark, sf_dir).filter("text is not null"), ["doc_id"])
     return m.withColumn("strategy", pages.summary_route()["strategy"])
 
 
+# halves are rounded up
+@query(_routing_sql("ocr_samples where text is not null", "sample_id", "greatest(coalesce(len(pages), 0), len(string_split(text, chr(12))))", "((coalesce(words, 0) * 200 + m) // (2 * m)) / 100"))
+def sample_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of each scanned document, its pages counted, and how it would be summarised."""
+    d = scratch.spread(table(spark, sf_dir, "ocr_samples").select("sample_id", "text", "pages").filter("text is not null"), "sample_id")
+    counted = F.greatest(F.coalesce(F.size("pages"), F.lit(0)), F.size(F.split("text", "\f")))
+    m = pages.routing_metrics(d, ["sample_id"], page_count=counted)
+    return m.withColumn("strategy", pages.summary_route()["strategy"])
+
+
 _ADMIN, _CLIN, _META = (f"({_count('l', w)})" for w in (L.PAGE_ADMIN, L.PAGE_CLINICAL, L.PAGE_METADATA))
 _VISIT = "(contains(l, 'established patient visit') or contains(l, 'new patient visit'))"
 _PAIRS = " or ".join(f"(contains(l, {q(a)}) and contains(l, {q(b)}))" for a, b in L.PAGE_ADMIN_PAIRS)
@@ -444,6 +475,19 @@ def job_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.set_differences(table(spark, sf_dir, "pipeline_jobs"), seen, "job_id")
 
 
+_REF = "trim(regexp_replace(lower(slug), '[^a-z0-9]+', '_', 'g'), '_') || '-span-' || ordinal"
+
+
+@query(f"""select c.job_id, c.section_id::varchar as claim_id, {_REF} as span_id from summary_sections c where slug is not null and ordinal is not null and job_id is not null
+           and not exists (select 1 from evidence_spans s where s.job_id = c.job_id and s.span_id = {_REF})""")
+def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of sections to evidence spans that their job doesn't have."""
+    slug = F.trim(F.regexp_replace(F.lower("slug"), "[^a-z0-9]+", "_"), F.lit("_"))
+    wanted = table(spark, sf_dir, "summary_sections").filter("slug is not null and ordinal is not null and job_id is not null")
+    wanted = wanted.select("job_id", F.col("section_id").cast("string").alias("claim_id"), F.array(F.concat(slug, F.lit("-span-"), F.col("ordinal").cast("string"))).alias("evidence_refs"))
+    return evidence.dangling_references(wanted, table(spark, sf_dir, "evidence_spans"), ["job_id"]).select("job_id", "claim_id", "span_id")
+
+
 # --- partial results ----------------------------------------------------------
 
 
@@ -575,11 +619,22 @@ def summary_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.contract(docs, sources, "summary_id", "text", "job_id")
 
 
-@query()
+def _bullets_sql(field: str | None, fallback: str) -> str:
+    if field is None:
+        return q(f"- {fallback}")
+    items = f"list_filter(list_transform(string_split({field}, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '')"
+    return f"case when len(coalesce({items}, [])) > 0 then array_to_string(list_transform({items}, lambda x: '- ' || x), chr(10)) else {q('- ' + fallback)} end"
+
+
+_LISTED = {"diagnoses": "diagnoses_list", "healthcare_providers": "providers_list", "medications": "medications_list"}
+_LAYOUT = " || chr(10) || chr(10) || ".join(f"{q(title + ':')} || chr(10) || {_bullets_sql(_LISTED.get(slug), 'Not documented.')}" for slug, title in L.HEADINGS)
+
+
+@query(f"select summary_id, {_LAYOUT} as summary from test_summaries")
 def headed_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat summaries in the fixed layout."""
     d = table(spark, sf_dir, "test_summaries")
-    fields = {s: F.split(F.col(c), "\n") for s, c in (("diagnoses", "diagnoses_list"), ("healthcare_providers", "providers_list"), ("medications", "medications_list"))}
+    fields = {slug: F.split(F.col(c), "\n") for slug, c in _LISTED.items()}
     return d.select("summary_id", summaries.layout_text(summaries.fixed_layout(fields, {"diagnoses": "Not documented."})).alias("summary"))
 
 
@@ -635,10 +690,21 @@ def event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.absences(table(spark, sf_dir, "events"), "user_id", "ts", "2 days")
 
 
-@query("select md5_hash, count(*) as n from pipeline_jobs where md5_hash is not null group by md5_hash having count(*) > 1")
-def repeated_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests that more than one job has."""
-    return jobs.repeated_values(table(spark, sf_dir, "pipeline_jobs"), "md5_hash")
+@query("select source_event_id, count(*) as n from ocr_chunks where source_event_id is not null group by source_event_id having count(*) > 1")
+def repeated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source events that more than one chunk message names."""
+    return jobs.repeated_values(table(spark, sf_dir, "ocr_chunks"), "source_event_id")
+
+
+@query("""with k as (select lower(trim(job_id)) || '|' || lower(trim(chunk_id)) as key, delivery_id, received_at from ocr_chunks where job_id is not null and chunk_id is not null),
+          o as (select lower(trim(job_id)) || '|' || lower(trim(chunk_id)) as key from summary_results where job_id is not null and chunk_id is not null)
+          select key, arg_min(delivery_id, {'r': received_at, 'd': delivery_id}) as delivery_id from k where key not in (select key from o) group by key""")
+def unanswered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks without a result, by their first delivery."""
+    key = F.concat_ws("|", F.lower(F.trim("job_id")), F.lower(F.trim("chunk_id"))).alias("key")
+    both = "job_id is not null and chunk_id is not null"
+    incoming = table(spark, sf_dir, "ocr_chunks").filter(both).select(key, "received_at", "delivery_id")
+    return jobs.new_keys(incoming, table(spark, sf_dir, "summary_results").filter(both).select(key), "key", ["received_at", "delivery_id"]).select("key", "delivery_id")
 
 
 @query("""select bucket, count(*) as total, count_if(coalesce(status = 'COMPLETED', false)) as passed, count_if(not coalesce(status = 'COMPLETED', false)) as failed,
@@ -687,19 +753,26 @@ def section_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams, run to the end of what there is ----------------------------------
 
 
-def _drained(stream: DataFrame, mode: str, label: str) -> DataFrame:
-    """Run a stream over the files there are and read its result."""
+def _drained(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Run a stream over the files there are, in update mode, into a sink by key, and read that.
+
+    A batch's rows replace those that earlier batches gave for the same keys; a
+    batch that is run again overwrites itself.
+    """
     spark = stream.sparkSession
     path = scratch.new_dir(spark, label)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
-    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    run = stream.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True).start()
     run.awaitTermination()
     if run.exception():
         raise run.exception()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return last.select(*(F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in stream.columns))
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -711,10 +784,10 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n from events group by 1, 2")
 def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by kind and hour, counted by a stream."""
-    return _drained(streams.windowed_counts(_stream(spark, sf_dir, "events"), "ts", ["event_type"], "1 hour", "60 days"), "complete", "windows")
+    return _drained(streams.windowed_counts(_stream(spark, sf_dir, "events"), "ts", ["event_type"], "1 hour", "60 days"), ["window_start", "event_type"], "windows")
 
 
 @query("select user_id, max(ts) as ts, max_by(event_type, {'ts': ts, 'e': event_type}) as event_type, count(*) as events from events group by user_id")
 def streamed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of each key, folded by a stream."""
-    return _drained(streams.latest_states(_stream(spark, sf_dir, "events"), "user_id", "ts", ["event_type"]), "complete", "states")
+    return _drained(streams.latest_states(_stream(spark, sf_dir, "events"), "user_id", "ts", ["event_type"]), ["user_id"], "states")
