@@ -9,10 +9,12 @@ renames; what stays unmatched was removed or added.  A sketch only proposes a
 rename of fields without fields below: all their values in the shared records
 must agree (count and exclusive or of the distinct key-and-value hashes).
 
-Scale: one pass flattens the records and folds counts and sketches inside each
-Arrow batch; the rest is a hash aggregation over (field, register) with map-side
-combining, in which a field is a 64-bit hash of its file and path.  What reaches one task afterwards is the schema of two
-files, never their rows.
+Scale: one pass flattens the records and counts fields inside each Arrow batch.
+Values are only looked at of fields that one file of a pair lacks, and only in
+the records that both files hold: these lines alone are read a second time.  The
+rest is a hash aggregation over (field, register) with map-side combining, in
+which a field is a 64-bit hash of its file and path.  What reaches one task
+afterwards is the schema of two files, never their rows.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ EXACT = 2 * REGISTERS
 SAME_VALUES = 0.6
 
 CHANGE_SCHEMA = "feed string, file_no int, change_kind string, old_path string, new_path string"
-_PROFILE = "feed string, file_no int, path string, kind string, n bigint, of bigint, reg int, mins bigint"
+_FIELDS = "feed string, file_no int, path string, kind string, n bigint"
+_SKETCHES = "of bigint, reg int, mins bigint"
 
 
 def kind_of(value: object) -> str:
@@ -76,40 +79,64 @@ def walk(value: object, path: str, out: dict[str, tuple[str, list[str]]]) -> lis
     return [json.dumps(value)]
 
 
+def paths(value: object, path: str, out: dict[str, str]) -> None:
+    """Collect ``path -> type`` of what :func:`walk` finds, without the values."""
+    if isinstance(value, dict):
+        for name, inner in value.items():
+            if inner is not None:
+                p = f"{path}.{name}" if path else name
+                out.setdefault(p, kind_of(inner))
+                if isinstance(inner, (dict, list)):
+                    paths(inner, p, out)
+    else:
+        for x in value:
+            if isinstance(x, (dict, list)):
+                paths(x, path + "[]" if isinstance(x, dict) else path, out)
+
+
 def _field_id(feed: str, file_no: int, path: str, kind: str) -> int:
     return xxhash.xxh64_intdigest(f"{feed}\0{file_no}\0{path}\0{kind}") - (1 << 63)
 
 
-def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of two sorts: fields with their counts, and register minima that name their field by a hash only."""
+def _fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fields of files with the numbers of their records so far; a path of no name counts the file's records."""
     for batch in batches:
         counts: Counter = Counter()
+        for feed, file_no, payload in zip(batch.feed, batch.file_no, batch.payload):
+            record = read_object(payload)
+            if record is not None:
+                kinds: dict[str, str] = {}
+                paths(record, "", kinds)
+                counts.update((feed, file_no, *field) for field in kinds.items())
+                counts[feed, file_no, "", "object"] += 1
+        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["feed", "file_no", "path", "kind", "n"])
+
+
+def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Register minima and value hashes of the fields asked for, which are named by a hash only."""
+    for batch in batches:
         mins: dict[tuple[int, int], int] = {}
         values: set[tuple[int, int, int]] = set()
-        for feed, file_no, payload, before, after in zip(batch.feed, batch.file_no, batch.payload, batch.in_previous, batch.in_next):
+        for feed, file_no, payload, before, after, wanted in zip(batch.feed, batch.file_no, batch.payload, batch.in_previous, batch.in_next, batch.paths):
             record = read_object(payload)
             if record is None:
                 continue
             out: dict[str, tuple[str, list[str]]] = {}
             walk(record, "", out)
             key = str(record.get("record_key"))
-            for path, (kind, texts) in out.items():
-                counts[feed, file_no, path, kind] += 1
-                if before or after:
-                    field = _field_id(feed, file_no, path, kind)
-                    for text in texts:
-                        h = xxhash.xxh64_intdigest(f"{key}\0{text}") >> 1
-                        # registers towards the next file come first, those towards the previous one after them
-                        for base, used in ((0, after), (REGISTERS, before)):
-                            k = (field, base + h % REGISTERS)
-                            if used and h < mins.get(k, 1 << 63):
-                                mins[k] = h
-                            if used:
-                                values.add((field, EXACT + (base > 0), h))
-            counts[feed, file_no, "", "object"] += 1
-        rows = [(*k, n, _field_id(*k), None, None) for k, n in counts.items()] + [(None, None, None, None, None, f, r, m) for f, r, m in (*((f, r, m) for (f, r), m in mins.items()), *values)]
-        frame = pd.DataFrame(rows, columns=["feed", "file_no", "path", "kind", "n", "of", "reg", "mins"])
-        yield frame.astype({"file_no": "Int32", "n": "Int64", "reg": "Int32", "mins": "Int64"})
+            for path in wanted:
+                kind, texts = out.get(path, ("", ()))
+                field = _field_id(feed, file_no, path, kind)
+                for text in texts:
+                    h = xxhash.xxh64_intdigest(f"{key}\0{text}") >> 1
+                    # registers towards the next file come first, those towards the previous one after them
+                    for base, used in ((0, after), (REGISTERS, before)):
+                        k = (field, base + h % REGISTERS)
+                        if used and h < mins.get(k, 1 << 63):
+                            mins[k] = h
+                        if used:
+                            values.add((field, EXACT + (base > 0), h))
+        yield pd.DataFrame([*((f, r, m) for (f, r), m in mins.items()), *values], columns=["of", "reg", "mins"]).astype({"of": "int64", "reg": "int32", "mins": "int64"})
 
 
 def similarity(a: dict[int, int], b: dict[int, int]) -> float:
@@ -240,12 +267,14 @@ def _record_key():
     return F.expr("try_variant_get(try_parse_json(payload), '$.record_key', 'string')")
 
 
-def profile_files(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What files hold: fields (feed, file_no, path, kind, of, n records) and
-    register minima (of, reg, mins), registers towards the next file before
-    those towards the previous one, and after them the value hashes (from
-    :data:`EXACT` on); both from one pass, staged."""
-    lines = lines.select("feed", F.col("file_no").cast("int"), "payload").filter("feed is not null and file_no is not null and payload is not null")
+def profile_files(lines: DataFrame) -> DataFrame:
+    """What files hold: feed, file_no, path, kind, n records; staged."""
+    rows = lines.mapInPandas(_fields, _FIELDS)
+    return stage(rows.groupBy("feed", "file_no", "path", "kind").agg(F.sum("n").alias("n")), "profile")
+
+
+def shared_records(lines: DataFrame) -> DataFrame:
+    """feed, file_no, record_key, in_previous, in_next of the records that a file and a neighbour of it both hold."""
     keys = lines.select("feed", "file_no", _record_key().alias("record_key")).filter("record_key is not null").distinct()
     files = keys.select("feed", "file_no").distinct()
     w = Window.partitionBy("feed").orderBy("file_no")
@@ -257,15 +286,7 @@ def profile_files(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     sides = both.select("feed", "record_key", "file_no", F.lit(False).alias("p"), F.lit(True).alias("x")).union(
         both.select("feed", "record_key", "next_no", F.lit(True), F.lit(False))
     )
-    sides = sides.groupBy("feed", "record_key", "file_no").agg(F.max("p").alias("in_previous"), F.max("x").alias("in_next"))
-    marked = (
-        lines.withColumn("record_key", _record_key())
-        .join(sides, ["feed", "record_key", "file_no"], "left")
-        .select("feed", "file_no", "payload", F.coalesce("in_previous", F.lit(False)).alias("in_previous"), F.coalesce("in_next", F.lit(False)).alias("in_next"))
-    )
-    rows = stage(marked.mapInPandas(_profile, _PROFILE), "profile")
-    fields = rows.filter("feed is not null").groupBy("feed", "file_no", "path", "kind", "of").agg(F.sum("n").alias("n"))
-    return fields, rows.filter("reg is not null").select("of", "reg", "mins")
+    return sides.groupBy("feed", "record_key", "file_no").agg(F.max("p").alias("in_previous"), F.max("x").alias("in_next"))
 
 
 def schema_changes(lines: DataFrame) -> DataFrame:
@@ -278,25 +299,30 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     the alphabet).  Repeated lines change nothing.  An empty table has no
     changes; other columns are ignored.
     """
-    fields, minima = profile_files(lines)
+    lines = lines.select("feed", F.col("file_no").cast("int"), "payload").filter("feed is not null and file_no is not null and payload is not null")
+    fields = profile_files(lines)
     files = fields.filter("path = ''").select("feed", "file_no").distinct()
     w = Window.partitionBy("feed").orderBy("file_no")
     files = files.select("feed", "file_no", F.lead("file_no").over(w).alias("next_no"), F.when(F.lag("file_no").over(w).isNotNull(), F.col("file_no")).alias("own_no"))
     sided = (
         fields.join(files, ["feed", "file_no"])
         .withColumn("as", F.explode(F.array(F.struct(F.col("next_no").alias("pair_file_no"), F.lit(0).alias("pair_side")), F.struct(F.col("own_no").alias("pair_file_no"), F.lit(1).alias("pair_side")))))
-        .select("feed", "path", "kind", "of", "n", "as.*")
+        .select("feed", "file_no", "path", "kind", "n", "as.*")
         .filter("pair_file_no is not null")
     )
     # a path that both files of a pair have keeps its name; only the others' values are compared
     both = Window.partitionBy("feed", "pair_file_no", "path")
     sided = stage(sided.withColumn("alone", F.min("pair_side").over(both) == F.max("pair_side").over(both)), "fields")
-    wanted = minima.join(sided.filter("alone").select("of").distinct(), "of", "left_semi")
+    # by file the fields to sketch, and the lines of records that a neighbour holds too
+    asked = sided.filter("alone").groupBy("feed", "file_no").agg(F.collect_set("path").alias("paths"))
+    marked = lines.join(asked, ["feed", "file_no"]).withColumn("record_key", _record_key()).join(shared_records(lines), ["feed", "record_key", "file_no"])
+    wanted = stage(marked.select("feed", "file_no", "payload", "in_previous", "in_next", "paths").mapInPandas(_sketches, _SKETCHES), "sketches")
     least = wanted.filter(F.col("reg") < EXACT).groupBy("of", "reg").agg(F.min("mins").alias("mins"))
     sums = wanted.filter(F.col("reg") >= EXACT).distinct().groupBy("of", "reg").agg(F.bit_xor("mins").alias("x"), F.count(F.lit(1)).alias("n"))
     sums = sums.select("of", F.inline(F.array(F.struct("reg", F.col("x").alias("mins")), F.struct((F.col("reg") + 2).alias("reg"), F.col("n").alias("mins")))))
     sketches = least.unionByName(sums).groupBy("of").agg(F.collect_list(F.struct("reg", "mins")).alias("regs"))
-    compared = sided.filter("alone").join(sketches, "of", "left")
+    named = F.udf(_field_id, "bigint")  # of schemas, not of rows
+    compared = sided.filter("alone").withColumn("of", named("feed", "file_no", "path", "kind")).join(sketches, "of", "left")
     plain = sided.filter("not alone").withColumn("regs", F.lit(None).cast("array<struct<reg:int,mins:bigint>>"))
     cols = ["feed", "pair_file_no", "pair_side", "path", "kind", "n", "regs"]
     return compared.select(cols).unionByName(plain.select(cols)).groupBy("feed", "pair_file_no").applyInPandas(_compare_group, CHANGE_SCHEMA)
