@@ -300,7 +300,7 @@ class Editor:
 
     def __init__(self, words: Words, weights: dict[str, float] | None = None, margin: float = 0.0):
         self.words, self.weights, self.margin = words, weights or {}, margin
-        self._memo: dict[str, str] = {}
+        self._memo: dict[tuple[str, bool], str] = {}
 
     def __getstate__(self) -> dict:
         return {"words": self.words, "weights": self.weights, "margin": self.margin}
@@ -346,22 +346,25 @@ class Editor:
             f"single {kind} {seen.lower()}>{meant.lower()}", f"single many {min(many, 3)} {size > 6}", f"single double {double} {kind}", f"single odd {odd}", f"single {where} {kind} {seen.lower()}>{meant.lower()}",
         ]
 
-    def best(self, word: str) -> str:
+    def best(self, word: str, singles: bool = True) -> str:
         get = self.weights.get
-        scored = [(sum([get(f, 0.0) for f in feats]) - (self.margin if single else 0.0), result) for result, feats, single in self.candidates(word)]
+        scored = [(sum([get(f, 0.0) for f in feats]) - (self.margin if single else 0.0), result) for result, feats, single in self.candidates(word) if singles or not single]
         top = max(s for s, _ in scored)
         return next(r for s, r in scored if s == top)
 
-    def repair(self, token: str) -> str:
-        """The token with its word repaired; codes, numbers and addresses stay."""
-        done = self._memo.get(token)
+    def repair(self, token: str, singles: bool = True) -> str:
+        """The token with its word repaired; codes, numbers and addresses stay.
+
+        ``singles`` false allows only edits that recognisers are known for.
+        """
+        done = self._memo.get((token, singles))
         if done is None:
             if len(self._memo) > 300_000:
                 self._memo.clear()
-            done = self._memo[token] = self._repair(token)
+            done = self._memo[token, singles] = self._repair(token, singles)
         return done
 
-    def _repair(self, token: str) -> str:
+    def _repair(self, token: str, singles: bool) -> str:
         lo, hi = core(token)
         word = token[lo:hi]
         if word[-1:] == "!":  # an exclamation, unless the word with an l is the far more frequent one
@@ -377,8 +380,8 @@ class Editor:
         if letters < 2 or digits * 2 > letters or _ADDRESS.search(word):
             return token
         if not digits and (parts := re.split(r"([-./])", word))[1:]:  # parts of a compound are words of their own
-            return token[:lo] + "".join(self.repair(p) if len(p) > 1 else p for p in parts) + token[hi:]
-        fixed = self.best(word)
+            return token[:lo] + "".join(self.repair(p, singles) if len(p) > 1 else p for p in parts) + token[hi:]
+        fixed = self.best(word, singles)
         if re.search(r"\d\d|[./]", word) and not self.words.level(fixed):  # figures in a code, unless that makes a word
             return token
         return token[:lo] + fixed + token[hi:]
@@ -456,7 +459,7 @@ _FIRST = re.compile(r"\s*([^\W_|!†$]?[^\s]*)")
 
 
 def join_features(left: str, mark: str, right: str, editor: Editor) -> list[str]:
-    joined = editor.repair(left + right)
+    joined = editor.repair(left + right, singles=False)  # else two words may seem to be a third one
     lo, hi = core(joined)
     whole = editor.words.level(joined[lo:hi])
     lo, hi = core(right)
