@@ -537,8 +537,11 @@ def page_value(line: str) -> int | None:
     return int(m.group(1)) if m.group(1).isdigit() else _roman(m.group(1))
 
 
+_NO_WORD, _FIGURES = re.compile(r"[^\w]+"), re.compile(r"\d+")
+
+
 def _key(line: str) -> str:
-    return re.sub(r"\d+", "0", re.sub(r"[^\w]+", "", line.lower()))
+    return _FIGURES.sub("0", _NO_WORD.sub("", line.lower()))
 
 
 def _close(a: str, b: str) -> bool:
@@ -640,27 +643,33 @@ class Furniture:
         ``behind`` known furniture only lines that stand on nearly all pages are more of it.
         """
         edges = [(k, i, place, page.lines[i]) for k, page in enumerate(pages) for i, place in _edges(page)]
+        values = {(k, i): page_value(line.strip()) for k, i, _, line in edges}
         groups: list[tuple[str, str, set[int]]] = []
         exact: dict[tuple[str, str], int] = {}
-        ends: dict[tuple[str, tuple[str, str], int], list[int]] = defaultdict(list)
+        sides: dict[str, list[int]] = defaultdict(list)
+        ends: dict[tuple[str, str, int], list[int]] = {}
         member: list[int] = []
-        for k, _, place, line in edges:
+        for k, i, place, line in edges:
             key, side = _key(line), place[:-1]
             at = exact.get((key, side))
             if at is None:
                 # alike keys begin or end alike and differ in length by three at most
-                if page_value(line) is None:
-                    near = {g for end in (("a", key[:4]), ("z", key[-4:])) for n in range(len(key) - 3, len(key) + 4) for g in ends[side, end, n]} if len(key) > 4 else ()
-                    at = next((g for g in sorted(near) if _close(groups[g][0], key)), None)
+                if values[k, i] is None and len(key) > 4:
+                    n, have = len(key), sides[side]
+                    if len(have) <= 24:  # as many comparisons as the index needs
+                        near = [g for g in have if -4 < len(groups[g][0]) - n < 4]
+                    else:
+                        near = sorted({g for end in (key[:4], "*" + key[-4:]) for m in range(n - 3, n + 4) for g in ends.get((side, end, m), ())})
+                    at = next((g for g in near if _close(groups[g][0], key)), None)
                 if at is None:
                     at = len(groups)
                     groups.append((key, side, set()))
-                    for end in (("a", key[:4]), ("z", key[-4:])):
-                        ends[side, end, len(key)].append(at)
+                    sides[side].append(at)
+                    for end in (key[:4], "*" + key[-4:]):
+                        ends.setdefault((side, end, len(key)), []).append(at)
                 exact[key, side] = at
             groups[at][2].add(k)
             member.append(at)
-        values = {(k, i): page_value(line.strip()) for k, i, _, line in edges}
         by_place: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, i, place, _ in edges:
             if values[k, i] is not None:
