@@ -578,10 +578,10 @@ _SECTION_TEXT = "title || ':' || chr(10) || content"
            c as (select job_id, sum(length(text)) as n, max(total_pages) as pages from ocr_chunks where text is not null group by job_id), y as ({_QUALITY_SQL}), al as (select job_id, alignment from ({ORACLE_SQL['job_alignment']})),
            z as (select s.job_id, t, n, pages, coalesce(alignment, 0.0) as alignment, coalesce(passed, false) as ok, length({_strip('t')}) as size, lower(t) as l from s join c using (job_id) left join al using (job_id) left join y using (job_id)),
            r as (select *, greatest(floor(n * 0.01)::bigint, case when coalesce(pages, 0) > 50 or n > 100000 then 600 else 200 end) as target,
-                 {_present('l', L.HEADER_TOKENS)} >= 3 and (regexp_matches(t, '\n\s*[-*]\s+') or regexp_matches(t, '\n\s*\d+\.\s+')) and (coalesce(pages, 0) < 100 or len(list_filter(string_split(t, chr(10) || chr(10)), lambda p: {_strip('p')} <> '')) >= 3 or size >= 1000) as st,
+                 {_present('l', L.HEADER_TOKENS)} >= 3 and (regexp_matches(t, '\\n\\s*[-*]\\s+') or regexp_matches(t, '\\n\\s*\\d+\\.\\s+')) and (coalesce(pages, 0) < 100 or len(list_filter(string_split(t, chr(10) || chr(10)), lambda p: {_strip('p')} <> '')) >= 3 or size >= 1000) as st,
                  {' + '.join(f"((length(lower({_strip('t')})) - length(replace(lower({_strip('t')}), {q(k)}, ''))) // {len(k)})" for k in L.INVALID_KEYWORDS)} as hits from z),
            x as (select *, list_filter([case when least(size / target, 1.0) < 0.75 then 'length_below_threshold' end, case when not st then 'structure_requirements_not_met' end, case when alignment < 0.8 then 'content_alignment_low' end, case when not ok then 'summary_quality_low' end], lambda v: v is not null) as a,
-                 list_filter([case when size < 300 then 'length_ok' end, case when hits >= 2 or regexp_matches(substr({_strip('t')}, 1, 32), '(?i)^(?:n/?a|no data|none|empty|tbd)[\s.\-]*$') then 'semantic_ok' end, case when not (n > 0 and size / greatest(n, 1) >= 0.005) then 'ratio_ok' end, case when not ok then 'summary_quality_low' end], lambda v: v is not null) as b from r)
+                 list_filter([case when size < 300 then 'length_ok' end, case when hits >= 2 or regexp_matches(substr({_strip('t')}, 1, 32), '(?i)^(?:n/?a|no data|none|empty|tbd)[\\s.\\-]*$') then 'semantic_ok' end, case when not (n > 0 and size / greatest(n, 1) >= 0.005) then 'ratio_ok' end, case when not ok then 'summary_quality_low' end], lambda v: v is not null) as b from r)
            select job_id, len(a) = 0 as passed, array_to_string(a, ',') as reason, len(b) = 0 as passed_simple, array_to_string(b, ',') as reason_simple from x""")
 def summary_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the sections of each job make a summary of its text: the full and the simple rules."""
