@@ -31,17 +31,27 @@ def completeness(parts: DataFrame, key: str, index: str, total: str) -> DataFram
 
 
 def merge_lists(parts: DataFrame, key: str, order: list[str], fields: list[str], limits: dict[str, int] | None = None) -> DataFrame:
-    """List fields concatenated in order, without placeholders and repeats (case, marks and spaces apart), each cut to its limit."""
-    gathered = parts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, *(f for f in fields if f not in order)))).alias("_p"))
+    """List fields concatenated in order, without placeholders and repeats (case, marks and spaces apart), each cut to its limit.
 
-    def merged(field: str) -> Column:
-        flat = F.flatten(F.filter(F.transform("_p", lambda p: p[field]), lambda x: x.isNotNull()))
-        tidy = F.filter(F.transform(flat, X.strip), lambda x: (x != "") & ~X.is_placeholder(x))
-        keys = F.transform(tidy, X.line_key)
-        first = F.filter(tidy, lambda x, i: F.array_position(keys, X.line_key(x)) == i + 1)
-        return F.slice(first, 1, limits[field]) if limits and field in limits else first
+    Repeats are collapsed by an aggregation and the distinct items ranked, so no
+    key's parts come together in a task.  Items of parts with equal order columns
+    go by their places in the lists.
+    """
 
-    return gathered.select(key, *(merged(f).alias(f) for f in fields))
+    def items(n: int, field: str) -> Column:
+        tidy = F.transform(field, lambda x, i: F.struct(F.lit(n).alias("_f"), i.alias("_i"), X.strip(x).alias("_x")))
+        return F.coalesce(F.filter(tidy, lambda p: (p["_x"] != "") & ~X.is_placeholder(p["_x"])), F.array().cast("array<struct<_f:int,_i:int,_x:string>>"))
+
+    own = F.concat(*(items(n, f) for n, f in enumerate(fields)))
+    flat = parts.filter(F.col(key).isNotNull()).select(key, *(F.col(o).alias(f"_o{n}") for n, o in enumerate(order)), F.inline_outer(own))
+    place = F.struct(*(f"_o{n}" for n in range(len(order))), "_i", "_x")
+    first = flat.groupBy(key, "_f", X.line_key("_x").alias("_k")).agg(F.min(place).alias("_p"))
+    if limits and all(f in limits for f in fields):
+        w = Window.partitionBy(key, "_f").orderBy("_p")
+        first = first.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max(1, *limits.values()))
+    merged = lambda n: F.transform(F.sort_array(F.collect_list(F.when(F.col("_f") == n, F.col("_p")))), lambda p: p["_x"])
+    cut = lambda c, f: F.slice(c, 1, limits[f]) if limits and f in limits else c
+    return first.groupBy(key).agg(*(cut(merged(n), f).alias(f) for n, f in enumerate(fields)))
 
 
 def usage_totals(parts: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -159,6 +159,20 @@ def test_summaries(spark):
     assert r.i == ["missing:b", "leak:Patient Name:"] and r.g == ["e", "m"] and r.h == ["m"] and r.x == ["Plan"]
 
 
+def test_lists_of_a_large_key(spark):
+    import time
+
+    n = 4000
+    lists = spark.range(n).selectExpr("'j' as job", "int(id) as i", f"array(concat('Item ', id), concat('item-', id % 10), concat('x', {n} - id), null, 'n/a') as a", "if(id < 2, array(' '), null) as b")
+    lists = lists.unionByName(spark.createDataFrame([("k", 1, None, ["B", "b."]), ("k", 0, ["?", "!"], ["c"]), ("l", 1, [], None), (None, 1, ["a"], ["a"])], "job string, i int, a array<string>, b array<string>"))
+    began = time.time()
+    got = {r.job: (r.a, r.b) for r in summaries.merge_lists(lists, "job", ["i"], ["a", "b"], {"a": 5, "b": 5}).collect()}
+    assert got == {"j": (["Item 0", "x4000", "Item 1", "x3999", "Item 2"], []), "k": (["?"], ["c", "B"]), "l": ([], [])}
+    assert time.time() - began < 20  # comparing every item with all others took minutes
+    whole = {r.job: r.a for r in summaries.merge_lists(lists, "job", ["i"], ["a", "b"], {"b": 5}).collect()}
+    assert len(whole["j"]) == 2 * n and whole["j"][-1] == "x1"
+
+
 def test_pages_of_texts_without_pages(spark, tmp_path):
     import __spark_entry__ as entry
 
