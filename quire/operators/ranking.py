@@ -59,11 +59,35 @@ def top_phrases(df: DataFrame, doc: list[str], text: str, limit: int = 40) -> Da
     return counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select(*doc, "rank", "phrase", "n")
 
 
-def token_overlap(a: Column, b: Column) -> Column:
-    """Shared distinct tokens over those of the smaller side, 3 places; 0 if a side is empty."""
-    x, y = F.array_distinct(a), F.array_distinct(b)
-    least = F.least(F.size(x), F.size(y))
-    return F.when(least == 0, F.lit(0.0)).otherwise(F.round(F.size(F.array_intersect(x, y)) / least, 3))
+def part_alignment(parts: DataFrame, key: list[str], side: str, order: list[str], text: str, limit: int = 200) -> DataFrame:
+    """:func:`content_alignment` of texts in parts, which are never joined: side is 0 for parts of the source and 1 for those of the summary.
+
+    Parts follow each other by ``order``; words on both sides of a border make a
+    pair.  Keys with parts of both sides have a row.  Parts meet by key in one
+    exchange and are read in order as a stream; what a task holds is a key's
+    counted phrases, which can spill.
+    """
+    words = F.array_join(X.content_tokens(F.coalesce(F.col(text), F.lit(""))), " ").alias("_w")  # no token has a space
+    own = parts.select(*key, F.col(side).alias("_side"), *(F.col(o).alias(f"_o{n}") for n, o in enumerate(order)), words).repartition(*key)
+    own = own.withColumn("_n", F.when(F.col("_w") != "", F.size(F.split("_w", " "))).otherwise(0))
+    w = Window.partitionBy(*key, "_side", F.col("_n") > 0).orderBy(*(f"_o{n}" for n in range(len(order))), "_w")
+    own = own.select(*key, "_side", "_w", "_n", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_end"), F.lead(F.substring_index("_w", " ", 1)).over(w).alias("_next"))
+    own = own.select(*key, "_side", "_n", (F.col("_end") - F.col("_n")).alias("_at"), F.when(F.col("_n") > 0, F.split(F.concat_ws(" ", "_w", "_next"), " ")).otherwise(F.array().cast("array<string>")).alias("_t"))
+    singles = F.transform(F.slice("_t", 1, F.col("_n")), lambda a, i: F.struct(F.lit(0).alias("kind"), (F.col("_at") + i).alias("pos"), a.alias("phrase")))
+    pairs = F.transform(
+        F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))), lambda b, i: F.struct(F.lit(1).alias("kind"), (F.col("_at") + i).alias("pos"), F.when(F.get("_t", i) != b, F.concat(F.get("_t", i), F.lit(" "), b)).alias("phrase"))
+    )
+    flat = own.select(*key, "_side", F.inline_outer(F.concat(singles, F.filter(pairs, lambda p: p.phrase.isNotNull()))))
+    counted = flat.groupBy(*key, "_side", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("kind"), F.min("pos").alias("pos"))
+    r = Window.partitionBy(*key, "_side").orderBy(F.col("phrase").isNull(), F.desc("n"), "kind", "pos")
+    ranked = counted.withColumn("_top", F.col("phrase").isNotNull() & (F.row_number().over(r) <= limit)).filter("_top or kind = 0 or phrase is null")
+    on = lambda c, s: F.max(F.col("_side").eqNullSafe(s) & c)
+    there, single = F.lit(True), F.coalesce(F.col("kind") == 0, F.lit(False))
+    per = ranked.groupBy(*key, "phrase").agg(on(there, 0).alias("a"), on(there, 1).alias("b"), on(single, 0).alias("wa"), on(single, 1).alias("wb"), on(F.col("_top"), 0).alias("ta"), on(F.col("_top"), 1).alias("tb"))
+    has = per.groupBy(*key).agg(F.max("a").alias("a"), F.max("b").alias("b"), *(F.count_if(F.col(x)).alias(x) for x in ("wa", "wb", "ta", "tb")), F.count_if(F.col("wa") & F.col("wb")).alias("words"), F.count_if(F.col("ta") & F.col("tb")).alias("tops"))
+    share = lambda both, x, y: F.when(F.least(x, y) > 0, F.col(both) / F.least(x, y)).otherwise(F.lit(0.0))
+    found = has.filter("a and b").select(*key, F.round(share("words", "wa", "wb"), 3).alias("token_overlap"), share("tops", "ta", "tb").alias("_p"), (F.least("ta", "tb") == 0).alias("_none"))
+    return found.select(*key, "token_overlap", F.round("_p", 6).alias("phrase_overlap"), F.when(F.col("_none"), F.lit(0.0)).otherwise(F.round(0.55 * F.col("_p") + 0.45 * F.col("token_overlap"), 3)).alias("alignment"))
 
 
 def content_alignment(pairs: DataFrame, key: list[str], source: str, summary: str, limit: int = 200) -> DataFrame:
@@ -72,14 +96,8 @@ def content_alignment(pairs: DataFrame, key: list[str], source: str, summary: st
     alignment = 0.55 x shared top phrases + 0.45 x shared tokens (3 places), 0 if
     a side has no tokens.  Keys must be unique.
     """
-    base = pairs.select(*key, F.coalesce(F.col(source), F.lit("")).alias("_a"), F.coalesce(F.col(summary), F.lit("")).alias("_b"))
-    overlap = base.select(*key, token_overlap(X.content_tokens("_a"), X.content_tokens("_b")).alias("token_overlap"))
-    sides = top_phrases(base, key, "_a", limit).select(*key, "phrase", F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).unionByName(top_phrases(base, key, "_b", limit).select(*key, "phrase", F.lit(0).alias("in_a"), F.lit(1).alias("in_b")))
-    per = sides.groupBy(*key, "phrase").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
-    counts = per.groupBy(*key).agg(F.sum("in_a").alias("a"), F.sum("in_b").alias("b"), F.sum(F.col("in_a") * F.col("in_b")).alias("both"))
-    joined = overlap.join(counts, key, "left")
-    phrase = F.when(F.least("a", "b") > 0, F.col("both") / F.least("a", "b")).otherwise(F.lit(0.0))
-    return joined.select(*key, "token_overlap", F.round(F.coalesce(phrase, F.lit(0.0)), 6).alias("phrase_overlap"), F.when(F.coalesce(F.least("a", "b"), F.lit(0)) == 0, F.lit(0.0)).otherwise(F.round(0.55 * phrase + 0.45 * F.col("token_overlap"), 3)).alias("alignment"))
+    sides = F.array(*(F.struct(F.lit(n).alias("_side"), F.col(c).alias("_text")) for n, c in enumerate((source, summary))))
+    return part_alignment(pairs.select(*key, F.inline(sides)), key, "_side", [], "_text", limit)
 
 
 def snippet_score(statement: Column, source: Column) -> Column:

@@ -157,27 +157,99 @@ def _reasons(checks: dict[str, Column]) -> Column:
     return X.let(failed, lambda f: F.struct((F.size(f) == 0).alias("passed"), F.array_join(f, ",").alias("reason")))
 
 
-def full_verdict(source_chars: Column, summary: Column, pages: Column, alignment: Column, quality_passed: Column, listed: Column | None = None, least_alignment: float = 0.8) -> Column:
+_LIST = r"\n\s*[-*]\s+|\n\s*\d+\.\s+"
+
+
+def summary_figures(summary: Column) -> Column:
+    """struct<size, headers, listed, paragraphs, hits, placeholder>: what the verdicts ask of a summary's text."""
+    low = F.lower(X.strip(summary))
+    return F.struct(
+        F.length(X.strip(summary)).alias("size"),
+        F.array(*(F.lower(summary).contains(h) for h in L.HEADER_TOKENS)).alias("headers"),
+        summary.rlike(_LIST).alias("listed"),
+        F.size(F.filter(F.split(summary, "\n\n"), lambda p: X.strip(p) != "")).alias("paragraphs"),
+        _empty_words(low).alias("hits"),
+        _is_empty(X.strip(summary)).alias("placeholder"),
+    )
+
+
+def _empty_words(low: Column) -> Column:
+    return sum((((F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / len(k)).cast("int") for k in L.INVALID_KEYWORDS), F.lit(0))
+
+
+def _is_empty(stripped: Column) -> Column:
+    return F.substring(stripped, 1, 32).rlike(r"(?i)^(?:n/?a|no data|none|empty|tbd)[\s.\-]*$")
+
+
+def section_figures(sections: DataFrame, key: str, order: list[str], title: str, content: str) -> DataFrame:
+    """:func:`summary_figures` (column ``figures``) of each key's sections as ``title:``, a line end and the content, between empty lines.
+
+    The text isn't made: its figures are sums over the sections, apart from those
+    of the first and the last.  A title's colon keeps any section from being
+    blank, and nothing that is looked for holds an empty line but list marks,
+    which are sought in a section between the empty lines that it has around it.
+    Sections without key, title or content are left out; order columns should be
+    unique.
+    """
+    gap = F.lit("\n\n")
+    part = sections.filter(F.col(key).isNotNull() & F.col(title).isNotNull() & F.col(content).isNotNull()).select(key, *(F.col(o).alias(f"_o{n}") for n, o in enumerate(order)), F.concat(title, F.lit(":\n"), content).alias("_t"))
+    t, size = F.col("_t"), F.length("_t")
+    edge = {
+        "lead": size - F.length(F.regexp_replace("_t", f"^{X.SPACE}+", "")),
+        "trail": size - F.length(F.regexp_replace("_t", f"{X.SPACE}+$", "")),
+        "inner": F.concat(gap, t, gap).rlike(_LIST),
+        "first": F.concat(t, gap).rlike(_LIST),
+        "last": F.concat(gap, t).rlike(_LIST),
+        "only": t.rlike(_LIST),
+        "placeholder": _is_empty(F.regexp_replace("_t", f"^{X.SPACE}+", "")),
+    }
+    low = F.lower("_t")
+    figures = part.select(
+        key,
+        F.struct(*(f"_o{n}" for n in range(len(order))), *(c.alias(n) for n, c in edge.items())).alias("_e"),
+        size.alias("_size"),
+        *(low.contains(h).alias(f"_h{n}") for n, h in enumerate(L.HEADER_TOKENS)),
+        F.size(F.filter(F.split("_t", "\n\n"), lambda p: X.strip(p) != "")).alias("_paragraphs"),
+        _empty_words(low).alias("_hits"),
+    )
+    sums = figures.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_size"), F.min("_e").alias("_a"), F.max("_e").alias("_z"), F.count_if(F.col("_e.inner")).alias("_inner"),
+        F.array(*(F.max(f"_h{n}") for n in range(len(L.HEADER_TOKENS)))).alias("_headers"), F.sum("_paragraphs").alias("_paragraphs"), F.sum("_hits").alias("_hits"),
+    )
+    between = F.col("_inner") - F.col("_a.inner").cast("int") - F.col("_z.inner").cast("int")
+    return sums.select(
+        key,
+        F.struct(
+            (F.col("_size") + 2 * (F.col("_n") - 1) - F.col("_a.lead") - F.col("_z.trail")).alias("size"),
+            F.col("_headers").alias("headers"),
+            F.when(F.col("_n") == 1, F.col("_a.only")).otherwise(F.col("_a.first") | F.col("_z.last") | (between > 0)).alias("listed"),
+            F.col("_paragraphs").alias("paragraphs"),
+            F.col("_hits").alias("hits"),
+            F.col("_a.placeholder").alias("placeholder"),
+        ).alias("figures"),
+    )
+
+
+def full_verdict(source_chars: Column, figures: Column, pages: Column, alignment: Column, quality_passed: Column, listed: Column | None = None, least_alignment: float = 0.8) -> Column:
     """struct<passed, reason>: length against the source, three headers and a list (for a hundred pages also paragraphs), alignment and quality.
 
-    listed: whether the summary has list fields beside its text.
+    figures: :func:`summary_figures` of the summary's text; listed: whether the
+    summary has list fields beside its text.
     """
-    low = F.lower(summary)
-    gate = length_gate(source_chars, F.length(X.strip(summary)), pages)
-    has_list = summary.rlike(r"\n\s*[-*]\s+") | summary.rlike(r"\n\s*\d+\.\s+")
-    structured = (X.phrases_present(low, L.HEADER_TOKENS) >= 3) & (has_list if listed is None else has_list | listed)
-    paragraphs = F.size(F.filter(F.split(summary, "\n\n"), lambda p: X.strip(p) != ""))
-    long_enough = (F.coalesce(pages, F.lit(0)) < 100) | (paragraphs >= 3) | (F.length(X.strip(summary)) >= 1000)
+    gate = length_gate(source_chars, figures.size, pages)
+    has_list = figures.listed
+    structured = (F.size(F.filter(figures.headers, lambda h: h)) >= 3) & (has_list if listed is None else has_list | listed)
+    long_enough = (F.coalesce(pages, F.lit(0)) < 100) | (figures.paragraphs >= 3) | (figures.size >= 1000)
     return _reasons({"length_below_threshold": gate.ok, "structure_requirements_not_met": structured & long_enough, "content_alignment_low": alignment >= least_alignment, "summary_quality_low": quality_passed})
 
 
-def simple_verdict(source_chars: Column, summary: Column, quality_passed: Column, floor: int = 300, ratio: float = 0.005) -> Column:
-    """struct<passed, reason>: length, absolutely and against the source, fewer than two empty words and no placeholder, and quality."""
-    n = F.length(X.strip(summary))
-    low = F.lower(X.strip(summary))
-    hits = sum((((F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / len(k)).cast("int") for k in L.INVALID_KEYWORDS), F.lit(0))
-    placeholder = F.substring(X.strip(summary), 1, 32).rlike(r"(?i)^(?:n/?a|no data|none|empty|tbd)[\s.\-]*$")
-    return _reasons({"length_ok": n >= floor, "semantic_ok": (hits < 2) & ~placeholder, "ratio_ok": (source_chars > 0) & (n / F.greatest(source_chars, F.lit(1)) >= ratio), "summary_quality_low": quality_passed})
+def simple_verdict(source_chars: Column, figures: Column, quality_passed: Column, floor: int = 300, ratio: float = 0.005) -> Column:
+    """struct<passed, reason>: length, absolutely and against the source, fewer than two empty words and no placeholder, and quality.
+
+    figures: :func:`summary_figures` of the summary's text.
+    """
+    n = figures.size
+    return _reasons({"length_ok": n >= floor, "semantic_ok": (figures.hits < 2) & ~figures.placeholder, "ratio_ok": (source_chars > 0) & (n / F.greatest(source_chars, F.lit(1)) >= ratio), "summary_quality_low": quality_passed})
 
 
 def length_gate(source_chars: Column, summary_chars: Column, pages: Column, min_ratio: float = 0.01, base: int = 200, long_base: int = 600, least: float = 0.75) -> Column:

@@ -408,11 +408,11 @@ def document_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_phrases(_documents(spark, sf_dir), ["doc_id"], "text", 10)
 
 
-def _job_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per job its chunk texts and its chunk summaries, each joined in order."""
-    chunk = summaries.merge_parts(table(spark, sf_dir, "ocr_chunks").select("job_id", "delivery_id", "text"), "job_id", ["delivery_id"], "text").select("job_id", F.col("merged").alias("source"))
-    parts = summaries.merge_parts(table(spark, sf_dir, "summary_results"), "job_id", ["result_id"], "summary_text").select("job_id", F.col("merged").alias("summary"))
-    return chunk.join(parts, "job_id")
+def _job_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each job's text (side 0) and of its summary (side 1): chunk texts and chunk summaries."""
+    chunk = table(spark, sf_dir, "ocr_chunks").select("job_id", F.lit(0).alias("side"), F.col("delivery_id").alias("part"), "text")
+    parts = table(spark, sf_dir, "summary_results").select("job_id", F.lit(1).alias("side"), F.col("result_id").alias("part"), F.col("summary_text").alias("text"))
+    return chunk.unionByName(parts).filter("job_id is not null")
 
 
 def _phrases_sql(side: str) -> str:
@@ -432,7 +432,7 @@ def _phrases_sql(side: str) -> str:
            select job_id, token_overlap, round(ph, 6) as phrase_overlap, case when m = 0 then 0.0 else round(0.55 * ph + 0.45 * token_overlap, 3) end as alignment from z""")
 def job_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of a job's text its summaries speak about."""
-    return ranking.content_alignment(_job_pairs(spark, sf_dir), ["job_id"], "source", "summary")
+    return ranking.part_alignment(_job_parts(spark, sf_dir), ["job_id"], "side", ["part"], "text")
 
 
 # --- evidence -----------------------------------------------------------------
@@ -585,12 +585,11 @@ _SECTION_TEXT = "title || ':' || chr(10) || content"
            select job_id, len(a) = 0 as passed, array_to_string(a, ',') as reason, len(b) = 0 as passed_simple, array_to_string(b, ',') as reason_simple from x""")
 def summary_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the sections of each job make a summary of its text: the full and the simple rules."""
-    rows = table(spark, sf_dir, "summary_sections").filter("content is not null and title is not null").withColumn("part", F.concat("title", F.lit(":\n"), "content"))
-    parts = summaries.merge_parts(rows, "job_id", ["ordinal", "section_id"], "part", "\n\n").select("job_id", F.col("merged").alias("t"))
+    parts = summaries.section_figures(table(spark, sf_dir, "summary_sections"), "job_id", ["ordinal", "section_id"], "title", "content")
     source = table(spark, sf_dir, "ocr_chunks").filter("text is not null").groupBy("job_id").agg(F.sum(F.length("text")).alias("n"), F.max("total_pages").alias("pages"))
     joined = parts.join(source, "job_id").join(job_alignment(spark, sf_dir).select("job_id", "alignment"), "job_id", "left").join(section_quality(spark, sf_dir).select("job_id", F.col("passed").alias("ok")), "job_id", "left")
-    full = summaries.full_verdict(F.col("n"), F.col("t"), F.col("pages"), F.coalesce("alignment", F.lit(0.0)), F.col("ok"))
-    simple = summaries.simple_verdict(F.col("n"), F.col("t"), F.col("ok"))
+    full = summaries.full_verdict(F.col("n"), F.col("figures"), F.col("pages"), F.coalesce("alignment", F.lit(0.0)), F.col("ok"))
+    simple = summaries.simple_verdict(F.col("n"), F.col("figures"), F.col("ok"))
     return joined.select("job_id", full.alias("f"), simple.alias("s")).select("job_id", "f.passed", "f.reason", F.col("s.passed").alias("passed_simple"), F.col("s.reason").alias("reason_simple"))
 
 

@@ -173,6 +173,34 @@ def test_lists_of_a_large_key(spark):
     assert len(whole["j"]) == 2 * n and whole["j"][-1] == "x1"
 
 
+def test_verdicts_without_joined_texts(spark, tmp_path):
+    import itertools
+    import random
+
+    import __spark_entry__ as entry
+
+    rnd = random.Random(5)
+    titles = ["-", "- x", "2.", "None" + " " * 40, " Medications ", "\n\n", "\u00a0Treatment", "n/a", "Diagnoses"]
+    contents = ["", " \n", "- a\n- b", "a\n\n\nb\n", "x\n3.", "x\n-", "none tbd", "Reason for visit:\n 1. pain", "\u0085", "a \u2028"]
+    rows = [(f"j{n}", i, rnd.choice(titles), rnd.choice(contents)) for n in range(150) for i in range(1 + n % 5)]
+    rows += [(f"s{n}", 1, t, c) for n, (t, c) in enumerate(itertools.product(titles, contents))] + [("z", 1, None, "a"), ("z", 2, "a", None), (None, 1, "a", "a"), ("y", None, "Empty", "b"), ("y", 0, "a", "c\n- ")]
+    sections = spark.createDataFrame(rows, "job string, i int, title string, content string")
+    text = summaries.merge_parts(sections.selectExpr("job", "i", "title || ':\n' || content as t").filter("t is not null"), "job", ["i"], "t", "\n\n")
+    want = {r.job: r.f for r in text.select("job", summaries.summary_figures(F.col("merged")).alias("f")).collect()}
+    assert {r.job: r.figures for r in summaries.section_figures(sections, "job", ["i"], "title", "content").collect()} == want and len(want) == 241
+
+    words = ["a", "pain", "the", "7", "knee", "knee", "it's", "\n", "Plan", "rest"]
+    parts = [(f"k{n}", side, i, " ".join(rnd.choices(words, k=rnd.randrange(6))) if rnd.random() < 0.8 else rnd.choice(["", None, " ", "the"])) for n in range(60) for side in (0, 1) for i in range(rnd.randrange(7))]
+    frame = spark.createDataFrame(parts, "job string, side int, i int, t string")
+    side = lambda s, c: summaries.merge_parts(frame.filter(F.col("side") == s), "job", ["i"], "t").select("job", F.col("merged").alias(c))
+    for limit in (2, 200):
+        want = {tuple(r) for r in ranking.content_alignment(side(0, "a").join(side(1, "b"), "job"), ["job"], "a", "b", limit).collect()}
+        assert {tuple(r) for r in ranking.part_alignment(frame, ["job"], "side", ["i"], "t", limit).collect()} == want and len(want) > 30
+
+    plan = entry.queries()["summary_verdicts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan  # no row holds all texts of a job
+
+
 def test_pages_of_texts_without_pages(spark, tmp_path):
     import __spark_entry__ as entry
 
